@@ -29,10 +29,10 @@ FEATURES = [
 
 
 def _summaries(x: np.ndarray) -> np.ndarray:
-    """Features of every row of a block, in the order of ``FEATURES``."""
+    """One row per feature, in the order of ``FEATURES``, one column per row of the block."""
     low, high = x.min(axis=1), x.max(axis=1)
     crossings = (x[:, 1:] * x[:, :-1] < 0).sum(axis=1)
-    return np.column_stack(
+    return np.vstack(
         [
             x.mean(axis=1),
             x.std(axis=1),
@@ -47,15 +47,18 @@ def _summaries(x: np.ndarray) -> np.ndarray:
     )
 
 
-@F.arrow_udf(", ".join(f"{name} double" for name in FEATURES))
-def summarize(signal: pa.Array) -> pa.Array:
-    values, starts, lengths = list_values(signal)
-    table = np.full((len(lengths), len(FEATURES)), np.nan)
-    for n, rows in blocks(lengths):
-        table[rows] = _summaries(values[starts[rows, None] + np.arange(n)])
-    return pa.StructArray.from_arrays(
-        [pa.array(np.ascontiguousarray(column)) for column in table.T], names=FEATURES
-    )
+def summarize(signal: Column) -> Column:
+    """Struct of the features of a lead."""
+
+    @F.arrow_udf(", ".join(f"{name} double" for name in FEATURES))
+    def run(column: pa.Array) -> pa.Array:
+        values, starts, lengths = list_values(column)
+        table = np.full((len(FEATURES), len(lengths)), np.nan)
+        for n, rows in blocks(lengths):
+            table[:, rows] = _summaries(values[starts[rows, None] + np.arange(n)])
+        return pa.StructArray.from_arrays([pa.array(row) for row in table], names=FEATURES)
+
+    return run(signal)
 
 
 def lead_features(leads: DataFrame, by: list[str] = LEAD) -> DataFrame:

@@ -125,28 +125,32 @@ def match_signals(headers: DataFrame, signal_files: DataFrame) -> DataFrame:
     )
 
 
-@F.arrow_udf("array<array<double>>")
 def physical_values(
-    content: pa.Array, offset: pa.Array, n_samples: pa.Array, gain: pa.Array, baseline: pa.Array
-) -> pa.Array:
+    content: Column, offset: Column, n_samples: Column, gain: Column, baseline: Column
+) -> Column:
     """Samples of every lead in physical units from the bytes of a signal file."""
-    rows = []
-    columns = (offset, n_samples, gain, baseline)
-    for data, first, n, gains, zeros in zip(content, *(c.to_pylist() for c in columns)):
-        count = n * len(gains)
-        digital = np.frombuffer(data.as_buffer(), dtype="<i2", count=count, offset=first)
-        digital = digital.reshape(n, len(gains)).T
-        values = (digital - np.array(zeros, dtype=float)[:, None]) / np.array(gains)[:, None]
-        rows.append(np.where(digital == MISSING_SAMPLE, np.nan, values))
-    leads = [lead for row in rows for lead in row]
-    lengths = np.array([len(lead) for lead in leads], dtype=np.int64)
-    per_row = np.array([len(row) for row in rows], dtype=np.int64)
-    flat = np.concatenate(leads) if leads else np.empty(0)
-    inner = pa.ListArray.from_arrays(_offsets(lengths), pa.array(flat))
-    return pa.ListArray.from_arrays(_offsets(per_row), inner)
-
-
-def _offsets(lengths: np.ndarray) -> pa.Array:
+
+    @F.arrow_udf("array<array<double>>")
+    def run(
+        content: pa.Array, offset: pa.Array, n_samples: pa.Array, gain: pa.Array, baseline: pa.Array
+    ) -> pa.Array:
+        leads, per_row = [], []
+        columns = (offset, n_samples, gain, baseline)
+        for data, first, n, gains, zeros in zip(content, *(c.to_pylist() for c in columns)):
+            digital = np.frombuffer(
+                data.as_buffer(), dtype="<i2", count=n * len(gains), offset=first
+            ).reshape(n, len(gains))
+            values = (digital - np.array(zeros, dtype=float)) / np.array(gains)
+            leads.extend(np.where(digital == MISSING_SAMPLE, np.nan, values).T)
+            per_row.append(len(gains))
+        flat = np.concatenate(leads) if leads else np.empty(0)
+        inner = pa.ListArray.from_arrays(_offsets([len(lead) for lead in leads]), pa.array(flat))
+        return pa.ListArray.from_arrays(_offsets(per_row), inner)
+
+    return run(content, offset, n_samples, gain, baseline)
+
+
+def _offsets(lengths: list[int]) -> pa.Array:
     return pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
 
 
