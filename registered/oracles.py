@@ -96,22 +96,28 @@ def denoising(source: str) -> list[tuple[str, str]]:
     ]
 
 
-def elements(source: str, keys: str, values: str, position: str = "i", value: str = "v") -> str:
+def elements(
+    source: str,
+    keys: str,
+    values: str,
+    position: str = "i",
+    value: str = "v",
+    kind: str = "INTEGER",
+) -> str:
     """One row per list element, position from 0."""
     return (
-        f"SELECT {keys}, p AS {position}, {rounded(value)} AS value FROM ("
+        f"SELECT {keys}, CAST(p AS {kind}) AS {position}, {rounded(value)} AS value FROM ("
         f"SELECT *, unnest({values}) AS v, unnest(range(0, len({values}))) AS p FROM {source})"
     )
 
 
-EVENT_LISTS = (
-    "SELECT user_id, list(value ORDER BY i) AS x FROM indexed GROUP BY user_id"
-)
+EVENT_LISTS = "SELECT user_id, list(value ORDER BY i) AS x FROM indexed GROUP BY user_id"
+
 
-# Full windows of 24 samples of the list column y of ``clean``, or of x of raw leads.
 def windows(source: str, values: str) -> str:
+    """One row per full window of 24 samples of a list column."""
     return (
-        f"SELECT * EXCLUDE (k), k AS seg_idx, {values}[24 * k + 1 : 24 * k + 24]::FLOAT[] AS s "
+        f"SELECT * EXCLUDE (k), CAST(k AS INTEGER) AS seg_idx, {values}[24 * k + 1 : 24 * k + 24]::FLOAT[] AS s "
         f"FROM (SELECT *, unnest(range(0, len({values}) // 24)) AS k FROM {source})"
     )
 
@@ -202,7 +208,7 @@ BAND_LISTS = " UNION ALL ".join(
 ORACLES: dict[str, str] = {
     "sample_index": f"SELECT event_id, user_id, i FROM ({INDEXED})",
     "sample_index_hot": f"SELECT event_id, user_id, i FROM ({INDEXED})",
-    "array_to_long": elements(f"({VECTORS})", "vec_id", "x"),
+    "array_to_long": elements(f"({VECTORS})", "vec_id", "x", kind="BIGINT"),
     "long_to_array": f"""SELECT user_id, i // 64 AS chunk_idx, 64 * (i // 64) AS start,
   CAST(i % 64 AS INTEGER) AS pos, {rounded("value")} AS value FROM ({INDEXED})""",
     "segment_events": f"""WITH s AS (
@@ -260,7 +266,7 @@ FROM embeddings e LEFT JOIN labels l ON l.doc_id = e.vec_id""",
     + elements("clean", "patient_id, lead_idx", "y"),
     "denoise_events": ctes(("indexed", INDEXED), *denoising(EVENT_LISTS))
     + "\n"
-    + elements("clean", "user_id", "y"),
+    + elements("clean", "user_id", "y", kind="BIGINT"),
     "preprocess": ctes(*denoising(LEADS), ("segments", windows("clean", "y")))
     + "\n"
     + elements("segments", "patient_id, lead_idx, seg_idx", "s", "pos"),
