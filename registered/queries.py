@@ -63,7 +63,12 @@ from wavelead.operators.records import (
 from wavelead.operators.segment import segment_leads, segment_samples, unsegmentable
 from wavelead.plans.prepare import build_dataset, preprocess
 from wavelead.sources.metadata import read_metadata
-from wavelead.sources.recordings import decode_recordings, match_signals, parse_headers
+from wavelead.sources.recordings import (
+    decode_recordings,
+    lead_rows,
+    match_signals,
+    parse_headers,
+)
 from wavelead.sources.tables import read_dataset, read_segments, write_dataset, write_segments
 from wavelead.storage import new_path
 
@@ -295,7 +300,7 @@ def metadata_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def decoded_recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
     headers, signals = record_files(spark, sf_dir)
-    decoded = decode_recordings(match_signals(parse_headers(headers), signals))
+    decoded = lead_rows(decode_recordings(match_signals(parse_headers(headers), signals)))
     return values_of(decoded, ["patient_id", "fs", "lead_idx", "lead"], "signal")
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wavelead.functions.columns import whole_div
 from wavelead.operators.layout import index_samples
 from wavelead.operators.records import label_metadata
 
@@ -35,7 +36,7 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def leads(spark: SparkSession, sf_dir: str) -> DataFrame:
     lead_idx = (F.col("vec_id") % N_LEADS).cast("int")
     return vectors(spark, sf_dir).select(
-        F.floor(F.col("vec_id") / N_LEADS).alias("patient_id"),
+        whole_div(F.col("vec_id"), N_LEADS).alias("patient_id"),
         F.lit(RATE).alias("fs"),
         lead_idx.alias("lead_idx"),
         F.concat(F.lit("lead_"), lead_idx).alias("lead"),
@@ -47,7 +48,7 @@ def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per recording; its diagnosis is the label of its first lead."""
     return (
         table(spark, sf_dir, "embeddings")
-        .groupBy(F.floor(F.col("vec_id") / N_LEADS).alias("patient_id"))
+        .groupBy(whole_div(F.col("vec_id"), N_LEADS).alias("patient_id"))
         .agg(F.min_by("label", "vec_id").alias("brugada"))
     )
 
@@ -66,7 +67,7 @@ def event_samples(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
 def segment_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file name per vector; some names and folders are not what they should be."""
     vec_id, label = F.col("vec_id"), F.col("label").cast("string")
-    patient = F.floor(vec_id / N_LEADS).cast("string")
+    patient = whole_div(vec_id, N_LEADS).cast("string")
     suffix = F.when(F.col("label") == 9, ".txt").otherwise(".npy")
     return table(spark, sf_dir, "embeddings").select(
         "vec_id",

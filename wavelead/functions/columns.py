@@ -30,33 +30,56 @@ def window_size(fs, duration: float = 3) -> Column:
     return F.when(size >= 1, size)
 
 
+def whole_div(a: Column, b: Column | int) -> Column:
+    """Integer division, exact for any LONG."""
+    return F.call_function("div", a, b if isinstance(b, Column) else F.lit(b))
+
+
 def count_windows(signal: Column, size: Column) -> Column:
     """Number of full windows of a lead; the short tail does not count."""
-    return F.coalesce(F.floor(F.size(signal) / size).cast("int"), F.lit(0))
+    return F.coalesce(whole_div(F.size(signal), size).cast("int"), F.lit(0))
+
+
+def _numbers(n: Column) -> Column:
+    """0 .. n - 1; null for n = 0, where a sequence would run down to -1."""
+    return F.when(n > 0, F.sequence(F.lit(0), n - 1))
 
 
 def windows(signal: Column, size: Column) -> Column:
     """Full non-overlapping windows as an array of float arrays; null if there is none."""
+    return F.transform(
+        _numbers(count_windows(signal, size)),
+        lambda k: to_float(F.slice(signal, k * size + 1, size)),
+    )
+
+
+def window_matrices(signals: Column, size: Column) -> Column:
+    """The same for a whole recording: an array of lead-major matrices.
+
+    A lead that ends before a window is full is left out of that window.
+    """
+    most = F.array_max(F.transform(signals, lambda lead: count_windows(lead, size)))
 
     def cut(k: Column) -> Column:
-        return to_float(F.slice(signal, k * size + 1, size))
+        parts = F.transform(signals, lambda lead: F.slice(lead, k * size + 1, size))
+        return F.filter(parts, lambda part: F.size(part) == size).cast("array<array<float>>")
 
-    # A descending sequence would start at (0, -1), hence the guard.
-    return F.when(
-        F.size(signal) >= size,
-        F.transform(F.sequence(F.lit(0), count_windows(signal, size) - 1), cut),
-    )
+    return F.transform(_numbers(most), cut)
 
 
 def median(values: Column) -> Column:
     """Median of an array; null for an empty one, NaN if any value is NaN."""
-    ordered = F.array_sort(values)
-    n = F.size(values)
-    low = F.get(ordered, ((n - 1) / 2).cast("int"))
-    high = F.get(ordered, (n / 2).cast("int"))
-    # NaN sorts last, so one look at the largest value is enough.
-    largest = F.get(ordered, n - 1)
-    return F.when(F.isnan(largest), largest).otherwise((low + high) / 2)
+
+    def middle(ordered: Column) -> Column:
+        n = F.size(ordered)
+        low = F.get(ordered, whole_div(n - 1, 2).cast("int"))
+        high = F.get(ordered, whole_div(n, 2).cast("int"))
+        # NaN sorts last, so one look at the largest value is enough.
+        largest = F.get(ordered, n - 1)
+        return F.when(F.isnan(largest), largest).otherwise((low + high) / 2)
+
+    # The one-element array binds the sorted values, which are used four times.
+    return F.get(F.transform(F.array(F.sort_array(values)), middle), 0)
 
 
 def noise_sigma(finest: Column) -> Column:

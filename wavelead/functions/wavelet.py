@@ -223,6 +223,20 @@ def denoise(signal: Column, wavelet: str = WAVELET, level: int = LEVEL) -> Colum
     return run(signal)
 
 
+def denoise_all(signals: Column, wavelet: str = WAVELET, level: int = LEVEL) -> Column:
+    """:func:`denoise` for every lead of a recording held as an array of leads."""
+    check_wavelet(wavelet, level)
+
+    @F.arrow_udf("array<array<double>>")
+    def run(column: pa.Array) -> pa.Array:
+        valid = column.is_valid().to_numpy(zero_copy_only=False)
+        counts = np.where(valid, np.diff(column.offsets.to_numpy(zero_copy_only=False)), -1)
+        leads = map_lists(column.flatten(), lambda x, _: denoise_block(x, level))
+        return list_column(leads, counts)
+
+    return run(signals)
+
+
 def denoise_with(
     signal: Column, threshold: Column, wavelet: str = WAVELET, level: int = LEVEL
 ) -> Column:

@@ -35,6 +35,34 @@ def collate(segments: DataFrame, n_leads: int = SHAPE[1]) -> DataFrame:
     )
 
 
+def collect_recordings(leads: DataFrame, n_leads: int = SHAPE[1]) -> DataFrame:
+    """One row per recording with all leads in ``signals``, as floats.
+
+    The state of a group is bounded in the same way as in :func:`collate`.
+    ``n_surplus`` counts the rows beyond one per lead.
+    """
+    names = [f"_lead{j}" for j in range(n_leads)]
+    present = sum((F.col(c).isNotNull().cast("int") for c in names), F.lit(0))
+    return (
+        leads.withColumn("signal", F.col("signal").cast("array<float>"))
+        .groupBy("patient_id", "label", "fs")
+        .agg(
+            F.count(F.lit(1)).alias("n_rows"),
+            *[
+                F.any_value(F.when(F.col("lead_idx") == j, F.col("signal")), True).alias(c)
+                for j, c in enumerate(names)
+            ],
+        )
+        .select(
+            "patient_id",
+            "label",
+            "fs",
+            F.array(*names).alias("signals"),
+            (F.col("n_rows") - present).cast("int").alias("n_surplus"),
+        )
+    )
+
+
 def _shape_problem(shape: tuple[int, int]) -> Column:
     n_samples, n_leads = shape
     return (
@@ -43,7 +71,10 @@ def _shape_problem(shape: tuple[int, int]) -> Column:
             (F.col("max_samples") != n_samples) | (F.col("n_leads") != n_leads),
             F.format_string("shape (%d, %d)", F.col("max_samples"), F.col("n_leads")),
         )
-        .when(F.exists("x", lambda lead: lead.isNull()), "a lead is missing")
+        .when(
+            (F.size("x") != n_leads) | F.exists("x", lambda lead: lead.isNull()),
+            "a lead is missing",
+        )
     )
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wavelead.functions.columns import universal_threshold
+from wavelead.functions.columns import universal_threshold, whole_div
 from wavelead.functions.wavelet import (
     LEVEL,
     MAD_SCALE,
@@ -88,9 +88,9 @@ def _chunk_thresholds(
 
     # The detail values that belong to the chunk itself, not to its halo; the
     # last chunk of a lead also holds those of the right boundary.
-    first = F.floor(F.col("chunk_idx") * chunk / 2)
+    first = F.col("chunk_idx") * (chunk // 2)
     is_last = end <= (F.col("chunk_idx") + 1) * chunk
-    k = F.floor(F.col("start") / 2) + F.col("_pos")
+    k = whole_div(F.col("start"), 2) + F.col("_pos")
     values = (
         parts.select(
             *by,
@@ -104,8 +104,8 @@ def _chunk_thresholds(
     )
     ranked = row_index(values, by, ["v", "k"], "rank", max_group_rows)
 
-    n_detail = F.floor((F.col("n") + (TAPS - 1)) / 2)
-    middle = F.col("rank").isin(F.floor((n_detail - 1) / 2), F.floor(n_detail / 2))
+    n_detail = whole_div(F.col("n") + (TAPS - 1), 2)
+    middle = F.col("rank").isin(whole_div(n_detail - 1, 2), whole_div(n_detail, 2))
     sigma = F.avg("v") / MAD_SCALE
     return (
         ranked.join(leads, by)
@@ -114,7 +114,7 @@ def _chunk_thresholds(
         .agg(sigma.alias("sigma"))
         .select(
             *by,
-            F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / chunk))).alias("chunk_idx"),
+            F.explode(F.sequence(F.lit(0), whole_div(F.col("n") - 1, chunk))).alias("chunk_idx"),
             F.when(F.col("has_nan"), F.lit(float("nan")))
             .otherwise(universal_threshold(F.col("sigma"), F.col("n")))
             .alias("threshold"),

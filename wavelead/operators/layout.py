@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wavelead.functions.columns import whole_div
 from wavelead.operators.ranking import MAX_GROUP_ROWS, row_index
 
 LEAD = ["patient_id", "lead_idx"]
@@ -51,12 +52,12 @@ def samples_to_arrays(
     if halo:
         target = F.explode(
             F.sequence(
-                F.floor(F.greatest(i - halo, F.lit(0)) / chunk), F.floor((i + halo) / chunk)
+                whole_div(F.greatest(i - halo, F.lit(0)), chunk), whole_div(i + halo, chunk)
             )
         )
     else:
-        target = F.floor(i / chunk)
-    pairs = F.array_sort(F.collect_list(F.struct("i", "value")))
+        target = whole_div(i, chunk)
+    pairs = F.sort_array(F.collect_list(F.struct("i", "value")))
     return (
         samples.select(*by, "i", "value", target.alias("chunk_idx"))
         .groupBy(*by, "chunk_idx")

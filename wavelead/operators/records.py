@@ -82,7 +82,7 @@ def recording_profile(leads: DataFrame, duration: float = 3) -> DataFrame:
             ),
             F.sum(F.size(is_missing)).alias("n_missing"),
             # A set of the lead names: copies of a lead do not make it larger.
-            F.array_sort(F.collect_set(F.struct("lead_idx", "lead"))).alias("names"),
+            F.sort_array(F.collect_set(F.struct("lead_idx", "lead"))).alias("names"),
         )
         .withColumn("leads", F.col("names.lead"))
         .drop("names")

@@ -5,7 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wavelead.functions.columns import to_float, window_size, windows
+from wavelead.functions.columns import (
+    to_float,
+    whole_div,
+    window_matrices,
+    window_size,
+    windows,
+)
 from wavelead.operators.layout import LEAD
 
 
@@ -25,6 +31,33 @@ def segment_leads(
     )
 
 
+def segment_recordings(
+    recordings: DataFrame, fs: Column | float | None = None, duration: float = 3
+) -> DataFrame:
+    """One row per window of a recording, all leads together in the matrix ``x``.
+
+    Takes rows with all leads of a recording in ``signals``; no shuffle either.
+    ``n_leads`` counts the leads with a full window, and every lead row beyond
+    one per lead.
+    """
+    size = window_size(F.col("fs") if fs is None else fs, duration)
+    length = F.transform("x", lambda lead: F.size(lead))
+    return recordings.select(
+        "patient_id",
+        "label",
+        "n_surplus",
+        F.posexplode(window_matrices(F.col("signals"), size)).alias("seg_idx", "x"),
+    ).select(
+        "patient_id",
+        "label",
+        "seg_idx",
+        (F.size("x") + F.col("n_surplus")).alias("n_leads"),
+        F.array_min(length).alias("min_samples"),
+        F.array_max(length).alias("max_samples"),
+        "x",
+    )
+
+
 def unsegmentable(leads: DataFrame, duration: float = 3) -> DataFrame:
     """Leads whose sampling rate is missing or gives a window of no samples."""
     return leads.where(window_size(F.col("fs"), duration).isNull()).select(
@@ -39,9 +72,9 @@ def segment_samples(samples: DataFrame, size: int, by: list[str] = LEAD) -> Data
     """
     if size < 1:
         raise ValueError(f"window of {size} samples")
-    pairs = F.array_sort(F.collect_list(F.struct("i", "value")))
+    pairs = F.sort_array(F.collect_list(F.struct("i", "value")))
     return (
-        samples.groupBy(*by, F.floor(F.col("i") / size).cast("int").alias("seg_idx"))
+        samples.groupBy(*by, whole_div(F.col("i"), size).cast("int").alias("seg_idx"))
         .agg(pairs.alias("pairs"), F.count(F.lit(1)).alias("n"))
         .where(F.col("n") == size)
         .select(*by, "seg_idx", to_float(F.col("pairs.value")).alias("samples"))

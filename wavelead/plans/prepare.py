@@ -11,10 +11,12 @@ from __future__ import annotations
 import argparse
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from wavelead.functions.wavelet import denoise_all
 from wavelead.operators.dataset import (
     SHAPE,
-    collate,
+    collect_recordings,
     dataset_report,
     dataset_rows,
     shape_rejects,
@@ -26,19 +28,15 @@ from wavelead.operators.records import (
     recording_profile,
     with_metadata,
 )
-from wavelead.operators.segment import segment_leads
+from wavelead.operators.segment import segment_leads, segment_recordings, unsegmentable
 from wavelead.sources.metadata import read_metadata
 from wavelead.sources.recordings import (
     decode_recordings,
+    lead_rows,
     match_recordings,
     recording_rejects,
 )
-from wavelead.sources.tables import (
-    read_dataset,
-    read_segments,
-    write_dataset,
-    write_segments,
-)
+from wavelead.sources.tables import read_dataset, write_dataset, write_segments
 
 
 def preprocess(leads: DataFrame, duration: float = 3, steps: tuple[Step, ...] = ()) -> DataFrame:
@@ -46,15 +44,46 @@ def preprocess(leads: DataFrame, duration: float = 3, steps: tuple[Step, ...] =
     return segment_leads(clean_leads(leads, *steps), duration=duration)
 
 
+def segment_matrices(
+    leads: DataFrame, duration: float = 3, n_leads: int = SHAPE[1]
+) -> DataFrame:
+    """Windows of whole recordings from labelled leads, one matrix each.
+
+    Leads are cleaned on the partitions they are read in. One shuffle then
+    brings the leads of a recording together, as floats and before they are
+    cut, so it moves one row per lead instead of one per lead and window.
+    """
+    recordings = collect_recordings(clean_leads(leads), n_leads)
+    return segment_recordings(recordings, duration=duration)
+
+
 def build_dataset(
     leads: DataFrame, duration: float = 3, shape: tuple[int, int] = SHAPE
 ) -> DataFrame:
-    """Data set rows from labelled leads.
+    """Data set rows from labelled leads."""
+    return dataset_rows(segment_matrices(leads, duration, shape[1]), shape)
+
 
-    The one shuffle is that by segment; the denoiser runs ahead of it on the
-    scan's own partitions and only float windows travel.
+def matrices_of_decoded(
+    decoded: DataFrame, labels: DataFrame, duration: float = 3, n_leads: int = SHAPE[1]
+) -> DataFrame:
+    """The same from decoded signal files.
+
+    A recording kept in one file arrives with all its leads in one row and is
+    cleaned and cut without any shuffle of signals; only recordings spread
+    over several files have to be brought together.
     """
-    return dataset_rows(collate(preprocess(leads, duration), shape[1]), shape)
+    whole = (
+        with_metadata(labels, decoded.where(F.col("n_files") == 1))
+        .withColumn("signals", denoise_all(F.col("signals")).cast("array<array<float>>"))
+        .withColumn("n_surplus", F.lit(0))
+    )
+    spread = with_metadata(labels, lead_rows(decoded.where(F.col("n_files") > 1)))
+    return segment_recordings(whole, duration=duration).unionByName(
+        segment_matrices(spread, duration, n_leads).withColumn(
+            "n_leads", F.col("n_leads").cast("int")
+        )
+    )
 
 
 def prepare(
@@ -65,30 +94,34 @@ def prepare(
     duration: float = 3,
     shape: tuple[int, int] = SHAPE,
     strict: bool = True,
+    keep_segments: bool = False,
 ) -> DataFrame:
-    """Write segments, data set and reject tables below ``output``; return the report.
+    """Write the data set, its rejects and the profile below ``output``; return the report.
 
-    With ``strict`` a patient without a recording or an empty data set is an error.
+    With ``strict`` a patient without a recording or an empty data set is an
+    error. With ``keep_segments`` the segments of single leads are written too.
     """
     meta = label_metadata(read_metadata(spark, metadata))
+    labels = meta.select("patient_id", "label")
     matched = match_recordings(spark, recordings)
-    # Decoding many small files is done once; everything else reads this table.
-    decode_recordings(matched).write.mode("overwrite").parquet(f"{output}/leads")
-    leads = spark.read.parquet(f"{output}/leads")
+    # Many small files are read and decoded once; all that follows reads this table.
+    decode_recordings(matched).write.mode("overwrite").parquet(f"{output}/recordings")
+    decoded = spark.read.parquet(f"{output}/recordings")
 
     recording_rejects(matched).write.mode("overwrite").parquet(f"{output}/recording_rejects")
-    missing_recordings(meta, leads, strict=strict).write.mode("overwrite").parquet(
+    missing_recordings(meta, decoded, strict=strict).write.mode("overwrite").parquet(
         f"{output}/missing_recordings"
     )
+    leads = lead_rows(decoded)
     recording_profile(leads, duration).write.mode("overwrite").parquet(f"{output}/profile")
-
-    labelled = with_metadata(meta.select("patient_id", "label"), leads)
-    segments = preprocess(labelled, duration).drop("fs")
-    write_segments(segments, f"{output}/segments")
-
-    collated = collate(read_segments(spark, f"{output}/segments"), shape[1])
-    write_dataset(dataset_rows(collated, shape), f"{output}/dataset")
-    shape_rejects(collated, shape).write.mode("overwrite").parquet(f"{output}/shape_rejects")
+    unsegmentable(leads, duration).write.mode("overwrite").parquet(f"{output}/rate_rejects")
+    if keep_segments:
+        segments = preprocess(with_metadata(labels, leads), duration).drop("fs")
+        write_segments(segments, f"{output}/segments")
+
+    matrices = matrices_of_decoded(decoded, labels, duration, shape[1])
+    write_dataset(dataset_rows(matrices, shape), f"{output}/dataset")
+    shape_rejects(matrices, shape).write.mode("overwrite").parquet(f"{output}/shape_rejects")
     return dataset_report(read_dataset(spark, f"{output}/dataset"), shape, strict)
 
 
@@ -101,6 +134,7 @@ def main() -> None:
     parser.add_argument("--samples", type=int, default=SHAPE[0])
     parser.add_argument("--leads", type=int, default=SHAPE[1])
     parser.add_argument("--lenient", action="store_true")
+    parser.add_argument("--keep-segments", action="store_true")
     args = parser.parse_args()
     spark = SparkSession.builder.appName("wavelead").getOrCreate()
     prepare(
@@ -111,6 +145,7 @@ def main() -> None:
         args.duration,
         (args.samples, args.leads),
         not args.lenient,
+        args.keep_segments,
     ).show()
 
 

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wavelead.functions.columns import whole_div
+
 # Fixed values of the header format: defaults for fields that are left out,
 # and the 16-bit value that stands for a missing sample.
 DEFAULT_RATE = 250.0
@@ -99,7 +101,8 @@ def match_signals(headers: DataFrame, signal_files: DataFrame) -> DataFrame:
     usable = F.col("reason").isNull()
     names = F.array_distinct(F.transform("signals", lambda s: s["file"]))
     expected = (
-        headers.withColumn("file", F.explode_outer(F.when(usable, names)))
+        headers.withColumn("n_files", F.size(names))
+        .withColumn("file", F.explode_outer(F.when(usable, names)))
         .withColumn(
             "signals",
             F.when(usable, F.filter("signals", lambda s: s["file"] == F.col("file"))),
@@ -108,7 +111,7 @@ def match_signals(headers: DataFrame, signal_files: DataFrame) -> DataFrame:
     )
     found = signal_files.select(F.col("path").alias("signal_path"), "length", "content")
     offset = F.get("signals", F.lit(0))["offset"]
-    room = F.floor((F.col("length") - offset) / (2 * F.size("signals")))
+    room = whole_div(F.col("length") - offset, 2 * F.size("signals"))
     return (
         expected.join(found, "signal_path", "left")
         .withColumn("offset", offset)
@@ -155,27 +158,37 @@ def _offsets(lengths: list[int]) -> pa.Array:
 
 
 def decode_recordings(matched: DataFrame) -> DataFrame:
-    """``lead_signal`` rows from the usable rows of :func:`match_signals`."""
-    decoded = matched.where(F.col("reason").isNull()).select(
+    """One row per signal file from the usable rows of :func:`match_signals`.
+
+    ``lead_idx``, ``lead`` and ``signals`` are aligned arrays; ``n_files`` tells
+    whether the row holds the recording as a whole.
+    """
+    return matched.where(F.col("reason").isNull()).select(
         "patient_id",
         "fs",
-        "signals",
+        "n_files",
+        F.col("signals.lead_idx").alias("lead_idx"),
+        F.col("signals.lead").alias("lead"),
         physical_values(
             F.col("content"),
             F.col("offset"),
             F.col("n_samples"),
             F.col("signals.gain"),
             F.col("signals.baseline"),
-        ).alias("values"),
+        ).alias("signals"),
     )
+
+
+def lead_rows(decoded: DataFrame) -> DataFrame:
+    """``lead_signal`` rows, one per lead."""
     return decoded.select(
-        "patient_id", "fs", F.explode(F.arrays_zip("signals", "values")).alias("s")
+        "patient_id", "fs", F.explode(F.arrays_zip("lead_idx", "lead", "signals")).alias("s")
     ).select(
         "patient_id",
         "fs",
-        F.col("s.signals.lead_idx").alias("lead_idx"),
-        F.col("s.signals.lead").alias("lead"),
-        F.col("s.values").alias("signal"),
+        F.col("s.lead_idx").alias("lead_idx"),
+        F.col("s.lead").alias("lead"),
+        F.col("s.signals").alias("signal"),
     )
 
 
@@ -204,4 +217,4 @@ def match_recordings(spark: SparkSession, path: str, signal_glob: str = "*.dat")
 
 def read_recordings(spark: SparkSession, path: str, signal_glob: str = "*.dat") -> DataFrame:
     """``lead_signal`` rows of all usable recordings below ``path``."""
-    return decode_recordings(match_recordings(spark, path, signal_glob))
+    return lead_rows(decode_recordings(match_recordings(spark, path, signal_glob)))
