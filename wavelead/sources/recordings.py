@@ -202,7 +202,8 @@ def match_recordings(spark: SparkSession, path: str, signal_glob: str = "*.dat")
     """Headers and signal files anywhere below ``path``, matched.
 
     Spark leaves out files and folders whose name starts with ``.`` or ``_``,
-    which covers what archives of other systems leave behind.
+    which covers what archives of other systems leave behind. Files of zero
+    bytes are left out as well, so an empty header counts as a missing recording.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     headers = files.option("pathGlobFilter", "*.hea").load(path)
