@@ -199,6 +199,13 @@ PROFILE = f"""SELECT patient_id, CAST(max(len(x)) AS INTEGER) AS n_samples, coun
   string_agg(lead, ',' ORDER BY lead_idx) AS leads
   FROM ({LEADS}) GROUP BY patient_id"""
 
+# The vectors as four-lead records of whole thousandths, sample by sample.
+FILE_LEADS = f"""SELECT vec_id, label, CAST(p % 4 AS INTEGER) AS lead_idx,
+  list(round(v * 1000) / 1000 ORDER BY p) AS x
+  FROM (SELECT vec_id, label, unnest(x) AS v, unnest(range(0, len(x))) AS p
+    FROM (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings))
+  GROUP BY vec_id, label, p % 4"""
+
 # The bands of a lead one after another, named by their position.
 BAND_LISTS = " UNION ALL ".join(
     f"SELECT vec_id, {b} AS band, {name} AS w FROM x4"
@@ -293,6 +300,17 @@ FROM ({META})""",
   CAST(p % 4 AS INTEGER) AS lead_idx, ['I', 'II', 'V1', 'V2'][p % 4 + 1] AS lead,
   CAST(p // 4 AS INTEGER) AS i, {rounded("round(v * 1000) / 1000")} AS value
 FROM (SELECT vec_id, unnest(x) AS v, unnest(range(0, len(x))) AS p FROM ({VECTORS}))""",
+    "dataset_from_files": ctes(
+        *denoising(FILE_LEADS),
+        (
+            "windows",
+            """SELECT vec_id AS "group", CASE WHEN label > 0 THEN 1 ELSE 0 END AS label,
+  CAST(k AS INTEGER) AS seg_idx, lead_idx, y[8 * k + 1 : 8 * k + 8]::FLOAT[] AS s
+  FROM (SELECT *, unnest(range(0, len(y) // 8)) AS k FROM clean)""",
+        ),
+    )
+    + "\n"
+    + elements("windows", '"group", label, seg_idx, lead_idx', "s", "pos"),
     "segment_table": ctes(*RAW_SEGMENTS)
     + "\n"
     + elements("labelled", "patient_id, label, lead_idx, lead, seg_idx", "s", "pos"),

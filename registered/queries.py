@@ -17,7 +17,6 @@ from registered.standins import (
     N_LEADS,
     SHAPE,
     USER,
-    WINDOW,
     event_samples,
     labelled_leads,
     leads,
@@ -61,7 +60,7 @@ from wavelead.operators.records import (
     with_metadata,
 )
 from wavelead.operators.segment import segment_leads, segment_samples, unsegmentable
-from wavelead.plans.prepare import build_dataset, preprocess
+from wavelead.plans.prepare import build_dataset, matrices_of_decoded, preprocess
 from wavelead.sources.metadata import read_metadata
 from wavelead.sources.recordings import (
     decode_recordings,
@@ -304,6 +303,18 @@ def decoded_recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return values_of(decoded, ["patient_id", "fs", "lead_idx", "lead"], "signal")
 
 
+def dataset_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the bytes of signal files to data set values, in windows of one second."""
+    headers, signals = record_files(spark, sf_dir)
+    labels = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("patient_id"), F.array(binarize_label(F.col("label"))).alias("labels")
+    )
+    parsed = parse_headers(headers).join(labels, "patient_id", "left")
+    decoded = decode_recordings(match_signals(parsed, signals))
+    rows = dataset_rows(matrices_of_decoded(decoded, 1, 4), (8, 4))
+    return _matrix_values(rows, "lead_idx", "pos")
+
+
 def segment_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "segments")
     write_segments(segment_leads(labelled_leads(spark, sf_dir)).drop("fs"), path)
@@ -433,6 +444,7 @@ QUERIES: dict[str, Query] = {
     "dataset_report": report,
     "metadata_scan": metadata_scan,
     "decode_recordings": decoded_recordings,
+    "dataset_from_files": dataset_from_files,
     "segment_table": segment_table,
     "dataset_table": dataset_table,
     "lead_features": features_of_leads,

@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from wavelead.functions.wavelet import MAD_SCALE
 
 
+def bind(use: Callable[..., Column], *values: Column) -> Column:
+    """``use(*values)`` with every value computed once.
+
+    Catalyst merges projections, so an expression used inside a lambda over an
+    array would be computed again for every element (and a Python function
+    could not be computed there at all). The lambda over a one-element array
+    holds on to the values instead.
+    """
+    names = [f"v{n}" for n in range(len(values))]
+    packed = F.struct(*[value.alias(name) for value, name in zip(values, names)])
+    return F.get(F.transform(F.array(packed), lambda p: use(*[p[name] for name in names])), 0)
+
+
 def binarize_label(label: Column) -> Column:
     """1 for a positive label, else 0; null and NaN count as 0."""
     return F.when(F.nanvl(label.cast("double"), F.lit(0.0)) > 0, 1).otherwise(0)
@@ -47,10 +62,14 @@ def _numbers(n: Column) -> Column:
 
 def windows(signal: Column, size: Column) -> Column:
     """Full non-overlapping windows as an array of float arrays; null if there is none."""
-    return F.transform(
-        _numbers(count_windows(signal, size)),
-        lambda k: to_float(F.slice(signal, k * size + 1, size)),
-    )
+
+    def cut(lead: Column) -> Column:
+        return F.transform(
+            _numbers(count_windows(lead, size)),
+            lambda k: to_float(F.slice(lead, k * size + 1, size)),
+        )
+
+    return bind(cut, signal)
 
 
 def window_matrices(signals: Column, size: Column) -> Column:
@@ -58,13 +77,17 @@ def window_matrices(signals: Column, size: Column) -> Column:
 
     A lead that ends before a window is full is left out of that window.
     """
-    most = F.array_max(F.transform(signals, lambda lead: count_windows(lead, size)))
 
-    def cut(k: Column) -> Column:
-        parts = F.transform(signals, lambda lead: F.slice(lead, k * size + 1, size))
-        return F.filter(parts, lambda part: F.size(part) == size).cast("array<array<float>>")
+    def cut(leads: Column) -> Column:
+        most = F.array_max(F.transform(leads, lambda lead: count_windows(lead, size)))
+
+        def matrix(k: Column) -> Column:
+            parts = F.transform(leads, lambda lead: F.slice(lead, k * size + 1, size))
+            return F.filter(parts, lambda part: F.size(part) == size)
+
+        return F.transform(_numbers(most), lambda k: matrix(k).cast("array<array<float>>"))
 
-    return F.transform(_numbers(most), cut)
+    return bind(cut, signals)
 
 
 def median(values: Column) -> Column:
@@ -78,8 +101,7 @@ def median(values: Column) -> Column:
         largest = F.get(ordered, n - 1)
         return F.when(F.isnan(largest), largest).otherwise((low + high) / 2)
 
-    # The one-element array binds the sorted values, which are used four times.
-    return F.get(F.transform(F.array(F.sort_array(values)), middle), 0)
+    return bind(middle, F.sort_array(values))
 
 
 def noise_sigma(finest: Column) -> Column:
@@ -94,25 +116,33 @@ def universal_threshold(sigma: Column, n: Column) -> Column:
 
 def soft_threshold(values: Column, threshold: Column) -> Column:
     """Shrink every value of an array towards zero by the threshold."""
-    return F.transform(
-        values, lambda v: F.signum(v) * F.greatest(F.abs(v) - threshold, F.lit(0.0))
+    # The threshold is repeated so that it is computed once, not per value.
+    return F.zip_with(
+        values,
+        F.array_repeat(threshold, F.size(values)),
+        lambda v, t: F.signum(v) * F.greatest(F.abs(v) - t, F.lit(0.0)),
     )
 
 
 def threshold_bands(bands: Column, threshold: Column) -> Column:
     """Soft-threshold every detail band and keep the approximation (the first band)."""
-    return F.transform(
-        bands, lambda band, b: F.when(b == 0, band).otherwise(soft_threshold(band, threshold))
+    details = F.slice(bands, 2, F.greatest(F.size(bands), F.lit(1)))
+    shrunk = F.zip_with(
+        details, F.array_repeat(threshold, F.size(bands) - 1), lambda band, t: soft_threshold(band, t)
     )
+    return F.concat(F.slice(bands, 1, 1), shrunk)
 
 
 def sample_major(x: Column) -> Column:
     """Turn a lead-major matrix (leads x samples) into a sample-major one."""
-    first = F.get(x, 0)
-    return F.transform(
-        F.sequence(F.lit(0), F.size(first) - 1),
-        lambda k: F.transform(x, lambda lead: F.get(lead, k)),
-    )
+
+    def turn(leads: Column) -> Column:
+        return F.transform(
+            _numbers(F.size(F.get(leads, 0))),
+            lambda k: F.transform(leads, lambda lead: F.get(lead, k)),
+        )
+
+    return bind(turn, x)
 
 
 def is_junk(path: Column) -> Column:

@@ -70,10 +70,20 @@ def lead_features(leads: DataFrame, by: list[str] = LEAD) -> DataFrame:
 
 def record_features(per_lead: DataFrame, n_leads: int = 12) -> DataFrame:
     """One row per recording with a column per lead and feature, ``l<lead>_<feature>``."""
-
-    def of_lead(j: int, name: str) -> Column:
-        return F.max(F.when(F.col("lead_idx") == j, F.col(name))).alias(f"l{j}_{name}")
-
-    return per_lead.groupBy("patient_id").agg(
-        *[of_lead(j, name) for j in range(n_leads) for name in FEATURES]
+    features = F.struct(*FEATURES)
+    by_lead = [
+        F.any_value(F.when(F.col("lead_idx") == j, features), True).alias(f"l{j}")
+        for j in range(n_leads)
+    ]
+    return (
+        per_lead.groupBy("patient_id")
+        .agg(*by_lead)
+        .select(
+            "patient_id",
+            *[
+                F.col(f"l{j}.{name}").alias(f"l{j}_{name}")
+                for j in range(n_leads)
+                for name in FEATURES
+            ],
+        )
     )

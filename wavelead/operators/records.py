@@ -19,6 +19,14 @@ def label_metadata(meta: DataFrame, diagnosis: str = "brugada") -> DataFrame:
     return meta.withColumn("label", binarize_label(F.col(diagnosis)))
 
 
+def label_sets(meta: DataFrame) -> DataFrame:
+    """One row per patient with the array of its labels, at most the two there are.
+
+    Metadata that lists a patient twice gives every label once.
+    """
+    return meta.groupBy(KEY).agg(F.sort_array(F.collect_set("label")).alias("labels"))
+
+
 def with_metadata(meta: DataFrame, recordings: DataFrame, key: str = KEY) -> DataFrame:
     """Recordings with the columns of their metadata row.
 

@@ -24,9 +24,9 @@ from wavelead.operators.dataset import (
 from wavelead.operators.denoising import Step, clean_leads
 from wavelead.operators.records import (
     label_metadata,
+    label_sets,
     missing_recordings,
     recording_profile,
-    with_metadata,
 )
 from wavelead.operators.segment import segment_leads, segment_recordings, unsegmentable
 from wavelead.sources.metadata import read_metadata
@@ -65,24 +65,27 @@ def build_dataset(
 
 
 def matrices_of_decoded(
-    decoded: DataFrame, labels: DataFrame, duration: float = 3, n_leads: int = SHAPE[1]
+    decoded: DataFrame, duration: float = 3, n_leads: int = SHAPE[1]
 ) -> DataFrame:
-    """The same from decoded signal files.
+    """The same from decoded signal files that carry their ``labels``.
 
     A recording kept in one file arrives with all its leads in one row and is
-    cleaned and cut without any shuffle of signals; only recordings spread
-    over several files have to be brought together.
+    cleaned and cut without any shuffle; only recordings spread over several
+    files have to be brought together. A patient listed under both labels
+    gives segments for either.
     """
+    labelled = decoded.where(F.size("labels") > 0)
     whole = (
-        with_metadata(labels, decoded.where(F.col("n_files") == 1))
+        labelled.where(F.col("n_files") == 1)
         .withColumn("signals", denoise_all(F.col("signals")).cast("array<array<float>>"))
         .withColumn("n_surplus", F.lit(0))
+        .withColumn("label", F.explode("labels"))
+    )
+    spread = lead_rows(labelled.where(F.col("n_files") > 1)).withColumn(
+        "label", F.explode("labels")
     )
-    spread = with_metadata(labels, lead_rows(decoded.where(F.col("n_files") > 1)))
     return segment_recordings(whole, duration=duration).unionByName(
-        segment_matrices(spread, duration, n_leads).withColumn(
-            "n_leads", F.col("n_leads").cast("int")
-        )
+        segment_matrices(spread, duration, n_leads)
     )
 
 
@@ -102,8 +105,7 @@ def prepare(
     error. With ``keep_segments`` the segments of single leads are written too.
     """
     meta = label_metadata(read_metadata(spark, metadata))
-    labels = meta.select("patient_id", "label")
-    matched = match_recordings(spark, recordings)
+    matched = match_recordings(spark, recordings, labels=label_sets(meta))
     # Many small files are read and decoded once; all that follows reads this table.
     decode_recordings(matched).write.mode("overwrite").parquet(f"{output}/recordings")
     decoded = spark.read.parquet(f"{output}/recordings")
@@ -116,10 +118,10 @@ def prepare(
     recording_profile(leads, duration).write.mode("overwrite").parquet(f"{output}/profile")
     unsegmentable(leads, duration).write.mode("overwrite").parquet(f"{output}/rate_rejects")
     if keep_segments:
-        segments = preprocess(with_metadata(labels, leads), duration).drop("fs")
-        write_segments(segments, f"{output}/segments")
+        segments = preprocess(leads, duration).withColumn("label", F.explode("labels"))
+        write_segments(segments.drop("fs", "labels"), f"{output}/segments")
 
-    matrices = matrices_of_decoded(decoded, labels, duration, shape[1])
+    matrices = matrices_of_decoded(decoded, duration, shape[1])
     write_dataset(dataset_rows(matrices, shape), f"{output}/dataset")
     shape_rejects(matrices, shape).write.mode("overwrite").parquet(f"{output}/shape_rejects")
     return dataset_report(read_dataset(spark, f"{output}/dataset"), shape, strict)

@@ -161,12 +161,15 @@ def decode_recordings(matched: DataFrame) -> DataFrame:
     """One row per signal file from the usable rows of :func:`match_signals`.
 
     ``lead_idx``, ``lead`` and ``signals`` are aligned arrays; ``n_files`` tells
-    whether the row holds the recording as a whole.
+    whether the row holds the recording as a whole. ``labels`` is passed on if
+    the headers came with it.
     """
+    passed = [c for c in ("labels",) if c in matched.columns]
     return matched.where(F.col("reason").isNull()).select(
         "patient_id",
         "fs",
         "n_files",
+        *passed,
         F.col("signals.lead_idx").alias("lead_idx"),
         F.col("signals.lead").alias("lead"),
         physical_values(
@@ -180,12 +183,11 @@ def decode_recordings(matched: DataFrame) -> DataFrame:
 
 
 def lead_rows(decoded: DataFrame) -> DataFrame:
-    """``lead_signal`` rows, one per lead."""
-    return decoded.select(
-        "patient_id", "fs", F.explode(F.arrays_zip("lead_idx", "lead", "signals")).alias("s")
-    ).select(
-        "patient_id",
-        "fs",
+    """``lead_signal`` rows, one per lead, with the other columns passed on."""
+    arrays = ["lead_idx", "lead", "signals"]
+    kept = [c for c in decoded.columns if c not in (*arrays, "n_files")]
+    return decoded.select(*kept, F.explode(F.arrays_zip(*arrays)).alias("s")).select(
+        *kept,
         F.col("s.lead_idx").alias("lead_idx"),
         F.col("s.lead").alias("lead"),
         F.col("s.signals").alias("signal"),
@@ -198,9 +200,18 @@ def recording_rejects(matched: DataFrame) -> DataFrame:
     )
 
 
-def match_recordings(spark: SparkSession, path: str, signal_glob: str = "*.dat") -> DataFrame:
+def match_recordings(
+    spark: SparkSession,
+    path: str,
+    signal_glob: str = "*.dat",
+    labels: DataFrame | None = None,
+) -> DataFrame:
     """Headers and signal files anywhere below ``path``, matched.
 
+    ``labels`` has one row per ``patient_id`` with the array ``labels``. It is
+    joined to the headers, which are small, so that the signals need no join
+    with the metadata later on.
+
     Spark leaves out files and folders whose name starts with ``.`` or ``_``,
     which covers what archives of other systems leave behind. Files of zero
     bytes are left out as well, so an empty header counts as a missing recording.
@@ -213,7 +224,10 @@ def match_recordings(spark: SparkSession, path: str, signal_glob: str = "*.dat")
         .option("pathGlobFilter", signal_glob)
         .load(path)
     )
-    return match_signals(parse_headers(headers), signals)
+    parsed = parse_headers(headers)
+    if labels is not None:
+        parsed = parsed.join(labels, "patient_id", "left")
+    return match_signals(parsed, signals)
 
 
 def read_recordings(spark: SparkSession, path: str, signal_glob: str = "*.dat") -> DataFrame:
