@@ -294,7 +294,7 @@ def report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def metadata_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "metadata")
     metadata(spark, sf_dir).withColumn("site", F.lit("a, b")).write.option("header", True).csv(path)
-    return read_metadata(spark, path, extra="site string")
+    return read_metadata(spark, path)
 
 
 def decoded_recordings(spark: SparkSession, sf_dir: str) -> DataFrame:

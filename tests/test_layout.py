@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -26,9 +27,11 @@ def skewed(spark):
 
 @pytest.mark.parametrize("limit", [0, 100, 10_000])
 def test_row_index_is_the_position_in_the_group(skewed, limit):
-    rows = row_index(skewed, ["id"], ["t"], max_group_rows=limit).collect()
+    rows = row_index(skewed, ["id"], ["t"], max_group_rows=limit, count="n").collect()
     assert len(rows) == skewed.count()
     assert all(r["i"] == r["t"] for r in rows)
+    sizes = Counter(r["id"] for r in rows)
+    assert all(r["n"] == sizes[r["id"]] for r in rows)
     assert {r["payload"] for r in rows if r["id"] == "hot"} == {f"x{t}" for t in range(900)}
 
 

@@ -38,12 +38,16 @@ def write_record(folder, name, digital, gains, baselines=None, fs=100, lead_name
 def test_metadata(spark, tmp_path):
     path = tmp_path / "metadata.csv"
     path.write_text('site,brugada,patient_id\n"a, b",1,7\nc,,8\nd,2.0,9\ne,x,10\n')
-    rows = read_metadata(spark, str(path)).orderBy("patient_id").collect()
+    narrow = read_metadata(spark, str(path)).select("patient_id", "brugada")
+    rows = narrow.orderBy("patient_id").collect()
     assert [tuple(r) for r in rows] == [(7, 1.0), (8, None), (9, 2.0), (10, None)]
-    wide = read_metadata(spark, str(path), extra="site string", corrupt="_bad")
+    wide = read_metadata(spark, str(path), corrupt="_bad")
     rows = {r["patient_id"]: r for r in wide.collect()}
     assert rows[7]["site"] == "a, b" and rows[7]["_bad"] is None
     assert rows[10]["_bad"] == "e,x,10"
+    path.write_text("age,patient_id,brugada\n50,1,0\n")
+    typed = read_metadata(spark, str(path), extra="age int")
+    assert [r.asDict() for r in typed.collect()] == [{"age": 50, "patient_id": 1, "brugada": 0.0}]
     path.write_text("patient_id\n1\n")
     with pytest.raises(ValueError):
         read_metadata(spark, str(path))

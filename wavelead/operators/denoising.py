@@ -102,21 +102,15 @@ def _chunk_thresholds(
         .where((k >= F.col("first")) & (F.col("is_last") | (k < F.col("first") + chunk // 2)))
         .select(*by, k.alias("k"), F.abs("_d").alias("v"))
     )
-    ranked = row_index(values, by, ["v", "k"], "rank", max_group_rows)
+    ranked = row_index(values, by, ["v", "k"], "rank", max_group_rows, count="n_detail")
 
-    n_detail = whole_div(F.col("n") + (TAPS - 1), 2)
+    n_detail = F.col("n_detail")
     middle = F.col("rank").isin(whole_div(n_detail - 1, 2), whole_div(n_detail, 2))
-    sigma = F.avg("v") / MAD_SCALE
-    return (
-        ranked.join(leads, by)
-        .where(middle)
-        .groupBy(*by, "n", "has_nan")
-        .agg(sigma.alias("sigma"))
-        .select(
-            *by,
-            F.explode(F.sequence(F.lit(0), whole_div(F.col("n") - 1, chunk))).alias("chunk_idx"),
-            F.when(F.col("has_nan"), F.lit(float("nan")))
-            .otherwise(universal_threshold(F.col("sigma"), F.col("n")))
-            .alias("threshold"),
-        )
+    sigma = ranked.where(middle).groupBy(*by).agg((F.avg("v") / MAD_SCALE).alias("sigma"))
+    return leads.join(sigma, by).select(
+        *by,
+        F.explode(F.sequence(F.lit(0), whole_div(F.col("n") - 1, chunk))).alias("chunk_idx"),
+        F.when(F.col("has_nan"), F.lit(float("nan")))
+        .otherwise(universal_threshold(F.col("sigma"), F.col("n")))
+        .alias("threshold"),
     )

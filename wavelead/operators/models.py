@@ -61,9 +61,9 @@ def out_of_fold(
     ``rows`` has ``key``, ``label``, ``fold`` and the feature columns. The
     result has a row per model and row of the input.
     """
-    # The rows are read once per fold and model; a table spares recomputing
-    # the features each time.
-    rows = materialize(rows.select(key, "label", "fold", *features), "features")
+    # The rows are read once per fold and model; a table spares recomputing the
+    # features each time, and scoring a fold reads that fold only.
+    rows = materialize(rows.select(key, "label", "fold", *features), "features", ("fold",))
     return _cross_validate(rows, features, models, key)
 
 
@@ -126,7 +126,7 @@ def ablation(
         if rest:
             runs["without", name] = rest
         runs["only", name] = columns
-    rows = materialize(rows.select(key, "label", "fold", *everything), "ablation")
+    rows = materialize(rows.select(key, "label", "fold", *everything), "ablation", ("fold",))
     results = []
     for (mode, name), columns in runs.items():
         scored = _cross_validate(rows, columns, models, key)

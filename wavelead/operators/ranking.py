@@ -19,9 +19,12 @@ def row_index(
     order: list[str],
     name: str = "i",
     max_group_rows: int = MAX_GROUP_ROWS,
+    count: str | None = None,
 ) -> DataFrame:
     """Add the zero-based position of every row in its ``by`` group, sorted by ``order``.
 
+    ``count`` names a further column for the size of the group.
+
     ``order`` has to be unique within a group. Group sizes are counted first
     (map-side combined). If every group is small this is a ``row_number``
     window. Otherwise one window would put a huge group into one task, so the
@@ -31,12 +34,16 @@ def row_index(
     """
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
     if sizes.where(F.col("n") > max_group_rows).isEmpty():
-        window = Window.partitionBy(*by).orderBy(*order)
-        return df.withColumn(name, F.row_number().over(window).cast("long") - 1)
-    return _index_by_range(df, by, order, name)
+        group = Window.partitionBy(*by)
+        position = F.row_number().over(group.orderBy(*order)).cast("long") - 1
+        counts = [F.count(F.lit(1)).over(group).alias(count)] if count else []
+        return df.select("*", position.alias(name), *counts)
+    return _index_by_range(df, by, order, name, count)
 
 
-def _index_by_range(df: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
+def _index_by_range(
+    df: DataFrame, by: list[str], order: list[str], name: str, count: str | None
+) -> DataFrame:
     keys = [*by, *order]
     # The upper bits of the generated id are the range partition, the lower
     # 33 bits the position in it. Both must stay the same in all that follows,
@@ -49,16 +56,14 @@ def _index_by_range(df: DataFrame, by: list[str], order: list[str], name: str) -
     ).withColumn("_part", F.shiftright("_place", 33))
 
     renamed = [F.col(c).alias(f"_by_{c}") for c in by]
-    earlier = (
-        Window.partitionBy(*[f"_by_{c}" for c in by])
-        .orderBy("_run")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
+    group = Window.partitionBy(*[f"_by_{c}" for c in by])
+    earlier = group.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
     # One row per group and range partition: bounded for every group.
     stretches = (
         placed.groupBy(*renamed, F.col("_part").alias("_run"))
         .agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_n"))
         .withColumn("_offset", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+        .withColumn("_size", F.sum("_n").over(group))
         .drop("_n")
     )
     same = reduce(
@@ -69,4 +74,5 @@ def _index_by_range(df: DataFrame, by: list[str], order: list[str], name: str) -
     return placed.join(stretches, same).select(
         *[F.col(c) for c in df.columns],
         (F.col("_place") - F.col("_first") + F.col("_offset")).alias(name),
+        *([F.col("_size").alias(count)] if count else []),
     )

@@ -11,11 +11,12 @@ def read_metadata(
 ) -> DataFrame:
     """Metadata CSV with header; ``patient_id`` is a LONG, ``brugada`` a DOUBLE.
 
-    ``extra`` lists further columns of the file as DDL. Columns are taken by
-    name, whatever their order in the file, and fields that do not fit their
-    type become null. With ``corrupt`` the text of such a line goes to a column
-    of that name. The diagnosis is read as DOUBLE because a file with gaps may
-    spell it ``1.0``, which an INT column would turn into null.
+    All other columns are passed on, as strings unless ``extra`` gives their type
+    as DDL. Columns are taken by name, whatever their order in the file, and
+    fields that do not fit their type become null. With ``corrupt`` the text of
+    such a line goes to a column of that name. The diagnosis is read as DOUBLE
+    because a file with gaps may spell it ``1.0``, which an INT column would
+    turn into null.
     """
     ddl = "patient_id long, brugada double"
     schema = T.StructType.fromDDL(f"{ddl}, {extra}" if extra else ddl)
@@ -30,5 +31,4 @@ def read_metadata(
     if corrupt:
         in_file = in_file.add(corrupt, T.StringType())
         reader = reader.option("columnNameOfCorruptRecord", corrupt)
-    wanted = [*known, *([corrupt] if corrupt else [])]
-    return reader.schema(in_file).csv(path).select(*wanted)
+    return reader.schema(in_file).csv(path)

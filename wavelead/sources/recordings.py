@@ -165,7 +165,10 @@ def decode_recordings(matched: DataFrame) -> DataFrame:
     the headers came with it.
     """
     passed = [c for c in ("labels",) if c in matched.columns]
-    return matched.where(F.col("reason").isNull()).select(
+    # Asking for the length makes the join an inner one, so that a small table
+    # of headers may be broadcast and the signal files stay where they are read.
+    usable = F.col("reason").isNull() & F.col("length").isNotNull()
+    return matched.where(usable).select(
         "patient_id",
         "fs",
         "n_files",
