@@ -339,4 +339,16 @@ FROM (SELECT count(*) FILTER (WHERE quality = 1 AND toxic = 1) AS tp,
     "error_list": """SELECT doc_id, quality, toxic,
   CASE WHEN quality = 1 THEN 'missed' ELSE 'false alarm' END AS error
 FROM labels WHERE quality <> toxic""",
+    "score_columns": "SELECT vec_id AS id, "
+    + ", ".join(f"{rounded(f'abs(x[{k + 1}])')} AS s{k}" for k in range(4))
+    + f" FROM ({VECTORS})",
+    "score_quality": f"""SELECT source, count(*) AS n,
+  {rounded("avg(CASE WHEN (p >= 0.5) = (label = 1) THEN 1 ELSE 0 END)")} AS accuracy,
+  {rounded("avg(-ln(CASE WHEN label = 1 THEN p ELSE 1 - p END))")} AS log_loss
+FROM (SELECT label AS source, vec_id % 2 AS label,
+  least(abs(embedding[1]::DOUBLE) * 5, 0.99::DOUBLE) AS p FROM embeddings) GROUP BY source""",
+    "permute_column": """SELECT r.id, d.label FROM
+  (SELECT vec_id AS id, row_number() OVER (ORDER BY vec_id) AS n FROM embeddings) r JOIN
+  (SELECT label, row_number() OVER (ORDER BY md5('42:' || vec_id), vec_id) AS n
+    FROM embeddings) d USING (n)""",
 }

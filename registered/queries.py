@@ -44,8 +44,11 @@ from wavelead.operators.folds import assign_folds, group_folds
 from wavelead.operators.layout import LEAD, arrays_to_samples, samples_to_arrays
 from wavelead.operators.models import (
     ablation,
+    accuracy,
     out_of_fold,
     permutation_importance,
+    permute_column,
+    stack_scores,
     stacking,
 )
 from wavelead.operators.names import parse_names, readable, unreadable
@@ -373,6 +376,29 @@ def error_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return misses(table(spark, sf_dir, "labels"), "doc_id", "quality", "toxic")
 
 
+def score_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = [f"s{k}" for k in range(4)]
+    wide = stack_scores({name: _scores(spark, sf_dir, k) for k, name in enumerate(names)})
+    return wide.select("id", *[rounded(name).alias(name) for name in names])
+
+
+def score_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accuracy and log loss of a score, by the raw label."""
+    scored = vectors(spark, sf_dir).select(
+        F.col("label").alias("source"),
+        (F.col("vec_id") % 2).cast("int").alias("label"),
+        F.least(F.abs(F.get("signal", 0)) * 5, F.lit(0.99)).alias("p"),
+    )
+    return accuracy(scored, ["source"]).select(
+        "source", "n", rounded("accuracy").alias("accuracy"), rounded("log_loss").alias("log_loss")
+    )
+
+
+def permuted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    return permute_column(rows, "label")
+
+
 # -- Models -----------------------------------------------------------------
 
 
@@ -454,6 +480,9 @@ QUERIES: dict[str, Query] = {
     "late_fusion": fused,
     "error_analysis": error_analysis,
     "error_list": error_list,
+    "score_columns": score_columns,
+    "score_quality": score_quality,
+    "permute_column": permuted,
     "out_of_fold": oof_scores,
     "stacking": stacked_scores,
     "ablation": ablation_runs,

@@ -153,15 +153,22 @@ def permute_column(
     The rows are numbered by ``key`` and, for the donors, by a seeded hash of
     it; equal numbers trade values. Both numberings are distributed.
     """
-    receivers = row_index(rows.drop(column), [], [key], "_n", max_group_rows)
-    donors = row_index(
-        rows.select(key, column, F.xxhash64(key, F.lit(seed)).alias("_shuffled")),
-        [],
-        ["_shuffled", key],
-        "_n",
-        max_group_rows,
-    ).select("_n", column)
-    return receivers.join(donors, "_n").drop("_n").select(*rows.columns)
+    receivers, donors = _numbered(rows, key, seed, max_group_rows)
+    return _take_over(receivers, donors, column).select(*rows.columns)
+
+
+def _numbered(
+    rows: DataFrame, key: str, seed: int, max_group_rows: int
+) -> tuple[DataFrame, DataFrame]:
+    shuffled = rows.withColumn("_shuffled", F.md5(F.concat_ws(":", F.lit(seed), key)))
+    return (
+        row_index(rows, [], [key], "_n", max_group_rows),
+        row_index(shuffled, [], ["_shuffled", key], "_n", max_group_rows),
+    )
+
+
+def _take_over(receivers: DataFrame, donors: DataFrame, column: str) -> DataFrame:
+    return receivers.drop(column).join(donors.select("_n", column), "_n")
 
 
 def permutation_importance(
@@ -177,9 +184,13 @@ def permutation_importance(
     rows = materialize(rows.select(key, "label", *features), "importance")
     fitted = _fit(rows, features, MODELS[model]())
     base = accuracy(_score(fitted, rows), []).first()
+    # The numbering is the same for every column and done once.
+    receivers, donors = (
+        materialize(df, "permutation") for df in _numbered(rows, key, seed, max_group_rows)
+    )
     results = []
     for column in columns or features:
-        permuted = permute_column(rows, column, key, seed, max_group_rows)
+        permuted = _take_over(receivers, donors, column)
         results.append(
             accuracy(_score(fitted, permuted), []).select(F.lit(column).alias("feature"), "*")
         )
