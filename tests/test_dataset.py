@@ -43,7 +43,7 @@ def by_segment(leads):
 
 
 def by_recording(leads):
-    return segment_recordings(collect_recordings(leads, SHAPE[1]), duration=1)
+    return segment_recordings(collect_recordings(leads, SHAPE[1]), SHAPE[1], duration=1)
 
 
 @pytest.mark.parametrize("plan", [by_segment, by_recording])

@@ -55,39 +55,19 @@ def count_windows(signal: Column, size: Column) -> Column:
     return F.coalesce(whole_div(F.size(signal), size).cast("int"), F.lit(0))
 
 
-def _numbers(n: Column) -> Column:
+def window_numbers(n: Column) -> Column:
     """0 .. n - 1; null for n = 0, where a sequence would run down to -1."""
     return F.when(n > 0, F.sequence(F.lit(0), n - 1))
 
 
-def windows(signal: Column, size: Column) -> Column:
-    """Full non-overlapping windows as an array of float arrays; null if there is none."""
+def window(signal: Column, k: Column, size: Column) -> Column:
+    """Window ``k`` of a lead as floats.
 
-    def cut(lead: Column) -> Column:
-        return F.transform(
-            _numbers(count_windows(lead, size)),
-            lambda k: to_float(F.slice(lead, k * size + 1, size)),
-        )
-
-    return bind(cut, signal)
-
-
-def window_matrices(signals: Column, size: Column) -> Column:
-    """The same for a whole recording: an array of lead-major matrices.
-
-    A lead that ends before a window is full is left out of that window.
+    Meant for a plain projection over exploded window numbers: there the slice
+    is compiled and touches the window only, whereas inside an array lambda it
+    would box the whole lead for every window.
     """
-
-    def cut(leads: Column) -> Column:
-        most = F.array_max(F.transform(leads, lambda lead: count_windows(lead, size)))
-
-        def matrix(k: Column) -> Column:
-            parts = F.transform(leads, lambda lead: F.slice(lead, k * size + 1, size))
-            return F.filter(parts, lambda part: F.size(part) == size)
-
-        return F.transform(_numbers(most), lambda k: matrix(k).cast("array<array<float>>"))
-
-    return bind(cut, signals)
+    return to_float(F.slice(signal, k * size + 1, size))
 
 
 def median(values: Column) -> Column:
@@ -138,7 +118,7 @@ def sample_major(x: Column) -> Column:
 
     def turn(leads: Column) -> Column:
         return F.transform(
-            _numbers(F.size(F.get(leads, 0))),
+            window_numbers(F.size(F.get(leads, 0))),
             lambda k: F.transform(leads, lambda lead: F.get(lead, k)),
         )
 

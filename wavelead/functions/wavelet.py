@@ -72,6 +72,9 @@ _SIGNS = (-1.0) ** np.arange(TAPS)
 DEC_HI = -_SIGNS * REC_LO
 REC_HI = _SIGNS * DEC_LO
 
+# Element types a denoised lead can have.
+_NUMPY_TYPES = {"double": np.float64, "float": np.float32}
+
 # Samples handled in one NumPy block; larger blocks fall out of the processor cache.
 _BLOCK_SAMPLES = 250_000
 
@@ -188,13 +191,15 @@ def blocks(lengths: np.ndarray):
             yield n, rows[first : first + step]
 
 
-def map_lists(column: pa.ListArray, block_fn, out_length=lambda n: n) -> pa.ListArray:
+def map_lists(
+    column: pa.ListArray, block_fn, out_length=lambda n: n, dtype: str = "double"
+) -> pa.ListArray:
     """Apply ``block_fn(matrix, row numbers)`` to a list column, one lead length at a time."""
     values, starts, lengths = list_values(column)
     sizes = {n: out_length(n) for n in np.unique(lengths[lengths > 0]).tolist()}
     out_lengths = np.array([sizes.get(n, n) for n in lengths.tolist()], dtype=np.int64)
     ends = np.cumsum(np.maximum(out_lengths, 0))
-    flat = np.empty(int(ends[-1]) if len(ends) else 0)
+    flat = np.empty(int(ends[-1]) if len(ends) else 0, dtype=_NUMPY_TYPES[dtype])
     for n, rows in blocks(lengths):
         result = block_fn(values[starts[rows, None] + np.arange(n)], rows)
         flat[(ends[rows, None] - sizes[n]) + np.arange(sizes[n])] = result
@@ -212,29 +217,35 @@ def band_lengths(n: int, level: int) -> list[int]:
 # -- Column functions -------------------------------------------------------
 
 
-def denoise(signal: Column, wavelet: str = WAVELET, level: int = LEVEL) -> Column:
+def denoise(
+    signal: Column, wavelet: str = WAVELET, level: int = LEVEL, dtype: str = "double"
+) -> Column:
     """Wavelet soft-threshold denoising of a whole lead, same length as the input.
 
-    A null lead stays null, a null or NaN sample spreads through its lead.
+    A null lead stays null, a null or NaN sample spreads through its lead. The
+    transform works on doubles; ``dtype="float"`` rounds the result, which
+    halves what goes back to the JVM when floats are wanted in the end.
     """
     check_wavelet(wavelet, level)
 
-    @F.arrow_udf("array<double>")
+    @F.arrow_udf(f"array<{dtype}>")
     def run(column: pa.Array) -> pa.Array:
-        return map_lists(column, lambda x, _: denoise_block(x, level))
+        return map_lists(column, lambda x, _: denoise_block(x, level), dtype=dtype)
 
     return run(signal)
 
 
-def denoise_all(signals: Column, wavelet: str = WAVELET, level: int = LEVEL) -> Column:
+def denoise_all(
+    signals: Column, wavelet: str = WAVELET, level: int = LEVEL, dtype: str = "double"
+) -> Column:
     """:func:`denoise` for every lead of a recording held as an array of leads."""
     check_wavelet(wavelet, level)
 
-    @F.arrow_udf("array<array<double>>")
+    @F.arrow_udf(f"array<array<{dtype}>>")
     def run(column: pa.Array) -> pa.Array:
         valid = column.is_valid().to_numpy(zero_copy_only=False)
         counts = np.where(valid, np.diff(column.offsets.to_numpy(zero_copy_only=False)), -1)
-        leads = map_lists(column.flatten(), lambda x, _: denoise_block(x, level))
+        leads = map_lists(column.flatten(), lambda x, _: denoise_block(x, level), dtype=dtype)
         return list_column(leads, counts)
 
     return run(signals)

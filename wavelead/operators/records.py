@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 
 from wavelead.functions.columns import binarize_label, count_windows, window_size
 
+# Columns of the metadata file.
 KEY = "patient_id"
+DIAGNOSIS = "brugada"
 
 # Size of the complete collection and the least that is accepted.
 EXPECTED_RECORDINGS = 363
 MINIMUM_RECORDINGS = 300
 
 
-def label_metadata(meta: DataFrame, diagnosis: str = "brugada") -> DataFrame:
+def label_metadata(meta: DataFrame, diagnosis: str = DIAGNOSIS) -> DataFrame:
     """Metadata with the binary ``label``."""
     return meta.withColumn("label", binarize_label(F.col(diagnosis)))
 
@@ -63,7 +65,7 @@ def completeness(
     )
 
 
-def cohort_summary(meta: DataFrame, diagnosis: str = "brugada") -> DataFrame:
+def cohort_summary(meta: DataFrame, diagnosis: str = DIAGNOSIS) -> DataFrame:
     """One row: all rows, cases (1 or 2) and normals (0) by the raw diagnosis."""
     return meta.agg(
         F.count(F.lit(1)).alias("n_total"),
@@ -107,7 +109,7 @@ def head_profile(
 
 
 def correct_labels(
-    meta: DataFrame, corrections: DataFrame, diagnosis: str = "brugada"
+    meta: DataFrame, corrections: DataFrame, diagnosis: str = DIAGNOSIS
 ) -> DataFrame:
     """Apply a table of corrected diagnoses; ``changed`` marks the rows that differ.
 

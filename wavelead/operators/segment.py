@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wavelead.functions.columns import (
+    count_windows,
     to_float,
     whole_div,
-    window_matrices,
+    window,
+    window_numbers,
     window_size,
-    windows,
 )
 from wavelead.operators.layout import LEAD
 
@@ -26,35 +27,57 @@ def segment_leads(
     """
     size = window_size(F.col("fs") if fs is None else fs, duration)
     kept = [c for c in leads.columns if c != "signal"]
+    n = count_windows(F.col("signal"), size)
+    part = window(F.col("signal"), F.col("seg_idx"), F.col("_size"))
+    # The second generator gives one row; what is computed from the samples
+    # later stays above it, so that a window is cut once.
     return leads.select(
-        *kept, F.posexplode(windows(F.col("signal"), size)).alias("seg_idx", "samples")
-    )
+        *kept, "signal", size.alias("_size"), F.explode(window_numbers(n)).alias("seg_idx")
+    ).select(*kept, "seg_idx", F.explode(F.array(part)).alias("samples"))
 
 
 def segment_recordings(
-    recordings: DataFrame, fs: Column | float | None = None, duration: float = 3
+    recordings: DataFrame,
+    n_leads: int,
+    fs: Column | float | None = None,
+    duration: float = 3,
 ) -> DataFrame:
     """One row per window of a recording, all leads together in the matrix ``x``.
 
     Takes rows with all leads of a recording in ``signals``; no shuffle either.
-    ``n_leads`` counts the leads with a full window, and every lead row beyond
-    one per lead.
+    ``x`` holds those of the first ``n_leads`` leads that fill the window; the
+    column ``n_leads`` also counts the surplus, leads beyond and repeated rows.
     """
     size = window_size(F.col("fs") if fs is None else fs, duration)
+    most = F.array_max(F.transform("signals", lambda lead: count_windows(lead, size)))
+    parts = F.array(
+        *[
+            window(F.get("signals", F.lit(j)), F.col("seg_idx"), F.col("_size"))
+            for j in range(n_leads)
+        ]
+    )
     length = F.transform("x", lambda lead: F.size(lead))
-    return recordings.select(
-        "patient_id",
-        "label",
-        "n_surplus",
-        F.posexplode(window_matrices(F.col("signals"), size)).alias("seg_idx", "x"),
-    ).select(
-        "patient_id",
-        "label",
-        "seg_idx",
-        (F.size("x") + F.col("n_surplus")).alias("n_leads"),
-        F.array_min(length).alias("min_samples"),
-        F.array_max(length).alias("max_samples"),
-        "x",
+    return (
+        recordings.select(
+            "patient_id",
+            "label",
+            "n_surplus",
+            "signals",
+            size.alias("_size"),
+            F.explode(window_numbers(most)).alias("seg_idx"),
+        )
+        # As in segment_leads, a generator of one row.
+        .select("*", F.explode(F.array(parts)).alias("_parts"))
+        .withColumn("x", F.filter("_parts", lambda part: F.size(part) == F.col("_size")))
+        .select(
+            "patient_id",
+            "label",
+            "seg_idx",
+            (F.size("x") + F.col("n_surplus")).alias("n_leads"),
+            F.array_min(length).alias("min_samples"),
+            F.array_max(length).alias("max_samples"),
+            "x",
+        )
     )
 
 

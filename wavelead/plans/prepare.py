@@ -9,11 +9,12 @@ As a job::
 from __future__ import annotations
 
 import argparse
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavelead.functions.wavelet import denoise_all
+from wavelead.functions.wavelet import denoise, denoise_all
 from wavelead.operators.dataset import (
     SHAPE,
     collect_recordings,
@@ -39,13 +40,20 @@ from wavelead.sources.recordings import (
 from wavelead.sources.tables import read_dataset, write_dataset, write_segments
 
 
-def preprocess(leads: DataFrame, duration: float = 3, steps: tuple[Step, ...] = ()) -> DataFrame:
+# Segments are floats, so the last cleaning step may as well give floats.
+STEPS: tuple[Step, ...] = (partial(denoise, dtype="float"),)
+
+
+def preprocess(leads: DataFrame, duration: float = 3, steps: tuple[Step, ...] = STEPS) -> DataFrame:
     """Clean whole leads, then cut them: the noise level needs the full length."""
     return segment_leads(clean_leads(leads, *steps), duration=duration)
 
 
 def segment_matrices(
-    leads: DataFrame, duration: float = 3, n_leads: int = SHAPE[1]
+    leads: DataFrame,
+    duration: float = 3,
+    n_leads: int = SHAPE[1],
+    steps: tuple[Step, ...] = STEPS,
 ) -> DataFrame:
     """Windows of whole recordings from labelled leads, one matrix each.
 
@@ -53,8 +61,8 @@ def segment_matrices(
     brings the leads of a recording together, as floats and before they are
     cut, so it moves one row per lead instead of one per lead and window.
     """
-    recordings = collect_recordings(clean_leads(leads), n_leads)
-    return segment_recordings(recordings, duration=duration)
+    recordings = collect_recordings(clean_leads(leads, *steps), n_leads)
+    return segment_recordings(recordings, n_leads, duration=duration)
 
 
 def build_dataset(
@@ -77,14 +85,14 @@ def matrices_of_decoded(
     labelled = decoded.where(F.size("labels") > 0)
     whole = (
         labelled.where(F.col("n_files") == 1)
-        .withColumn("signals", denoise_all(F.col("signals")).cast("array<array<float>>"))
-        .withColumn("n_surplus", F.lit(0))
+        .withColumn("signals", denoise_all(F.col("signals"), dtype="float"))
+        .withColumn("n_surplus", F.greatest(F.size("signals") - n_leads, F.lit(0)))
         .withColumn("label", F.explode("labels"))
     )
     spread = lead_rows(labelled.where(F.col("n_files") > 1)).withColumn(
         "label", F.explode("labels")
     )
-    return segment_recordings(whole, duration=duration).unionByName(
+    return segment_recordings(whole, n_leads, duration=duration).unionByName(
         segment_matrices(spread, duration, n_leads)
     )
 

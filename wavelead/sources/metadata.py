@@ -5,20 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from wavelead.operators.records import DIAGNOSIS, KEY
+
 
 def read_metadata(
     spark: SparkSession, path: str, extra: str = "", corrupt: str | None = None
 ) -> DataFrame:
-    """Metadata CSV with header; ``patient_id`` is a LONG, ``brugada`` a DOUBLE.
+    """Metadata CSV with header; the patient number is a LONG, the diagnosis a DOUBLE.
 
     All other columns are passed on, as strings unless ``extra`` gives their type
     as DDL. Columns are taken by name, whatever their order in the file, and
     fields that do not fit their type become null. With ``corrupt`` the text of
-    such a line goes to a column of that name. The diagnosis is read as DOUBLE
+    such a line goes to a column of that name. The diagnosis is a DOUBLE
     because a file with gaps may spell it ``1.0``, which an INT column would
     turn into null.
     """
-    ddl = "patient_id long, brugada double"
+    ddl = f"{KEY} long, {DIAGNOSIS} double"
     schema = T.StructType.fromDDL(f"{ddl}, {extra}" if extra else ddl)
     # Spark matches a CSV schema by position, so the header names the order.
     header = spark.read.option("header", True).csv(path).columns
