@@ -1,4 +1,4 @@
-"""Segment identity carried in file names: ``<patient>_<label>_seg<number>.npy`` in folder ``<patient>``."""
+"""Segment identity in file names: ``<patient>_<label>_seg<number>.npy`` in folder ``<patient>``."""
 
 from __future__ import annotations
 
