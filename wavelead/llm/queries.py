@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavelead.llm.host_rules import judge
+from wavelead.llm.near_dup import near_duplicates
 from wavelead.llm.packing import pack_documents
 from wavelead.llm.pieces import encode_documents
 from wavelead.llm.token_files import token_files
@@ -38,6 +39,10 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), vocabulary(), end=1, with_ids=False)
 
 
+def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = judge(table(spark, sf_dir, "documents"), host="source", keep=("doc_id",))
     return judged.drop("shrunk_rate")
@@ -50,6 +55,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_token_files": op2_token_files,
+    "op4_near_dup": op4_near_dup,
     "op6_host_rules": op6_host_rules,
     "op10_packing": op10_packing,
 }
