@@ -12,6 +12,7 @@ from wavelead.llm.host_rules import judge
 from wavelead.llm.near_dup import near_duplicates
 from wavelead.llm.packing import pack_documents
 from wavelead.llm.pieces import encode_documents
+from wavelead.llm.quality import score_documents
 from wavelead.llm.token_files import token_files
 
 
@@ -48,6 +49,10 @@ def op6_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.drop("shrunk_rate")
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "quality")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary(), end=2)
 
@@ -57,5 +62,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": op2_token_files,
     "op4_near_dup": op4_near_dup,
     "op6_host_rules": op6_host_rules,
+    "op9_quality": op9_quality,
     "op10_packing": op10_packing,
 }
