@@ -13,6 +13,7 @@ from wavelead.llm.near_dup import near_duplicates
 from wavelead.llm.packing import pack_documents
 from wavelead.llm.pieces import encode_documents
 from wavelead.llm.quality import score_documents
+from wavelead.llm.sharding import assign
 from wavelead.llm.token_files import token_files
 
 
@@ -40,6 +41,10 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), vocabulary(), end=1, with_ids=False)
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assign(table(spark, sf_dir, "documents"))
+
+
 def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -60,6 +65,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_token_files": op2_token_files,
+    "op3_sharding": op3_sharding,
     "op4_near_dup": op4_near_dup,
     "op6_host_rules": op6_host_rules,
     "op9_quality": op9_quality,
