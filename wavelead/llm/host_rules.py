@@ -140,3 +140,9 @@ def judge(
         "shrunk_rate",
         (~F.col("base_failed") & ~F.col("host_rejected")).alias("kept"),
     )
+
+
+def kept_documents(docs: DataFrame, host: str = "source", max_rate: float = MAX_RATE) -> DataFrame:
+    """The rows of ``docs`` that the rules and the verdicts on hosts leave, with all their columns."""
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), host, "text")
+    return judge(rows, host, ("_row",), max_rate).where("kept").select("_row.*")

@@ -265,3 +265,12 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return rows.select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id")
     ).select("*", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def distinct_documents(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """One document of every class, with all its columns; of rows with the same id one. Rows without id stay."""
+    judged = near_duplicates(docs, threshold)
+    kept = judged.where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept")).distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("_id"))
+    one = rows.join(kept, F.col("_id") == F.col("_kept"), "left_semi").dropDuplicates(["_id"])
+    return one.unionByName(rows.where("_id IS NULL")).select("_row.*")

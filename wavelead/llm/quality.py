@@ -138,3 +138,9 @@ def score_documents(docs: DataFrame, labels: DataFrame, label: str = "quality",
         "score",
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
     )
+
+
+def accepted_documents(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs`` that the classifier accepts, with all their columns."""
+    forest = train(docs, labels, label, sample)
+    return docs.where(score_column(forest, F.col("text").cast("string")) >= THRESHOLD)

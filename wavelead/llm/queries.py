@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from wavelead.llm.host_rules import judge
 from wavelead.llm.near_dup import near_duplicates
 from wavelead.llm.packing import pack_documents
+from wavelead.llm.passages import passages
 from wavelead.llm.pieces import encode_documents
 from wavelead.llm.quality import score_documents
 from wavelead.llm.sharding import assign
@@ -54,6 +55,10 @@ def op6_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.drop("shrunk_rate")
 
 
+def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages(table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "quality")
 
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sharding": op3_sharding,
     "op4_near_dup": op4_near_dup,
     "op6_host_rules": op6_host_rules,
+    "op8_passages": op8_passages,
     "op9_quality": op9_quality,
     "op10_packing": op10_packing,
 }
