@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wavelead.llm.hnsw import nearest_neighbours
 from wavelead.llm.host_rules import judge
 from wavelead.llm.near_dup import near_duplicates
 from wavelead.llm.packing import pack_documents
@@ -55,6 +56,10 @@ def op6_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.drop("shrunk_rate")
 
 
+def op7_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages(table(spark, sf_dir, "documents"))
 
@@ -73,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sharding": op3_sharding,
     "op4_near_dup": op4_near_dup,
     "op6_host_rules": op6_host_rules,
+    "op7_hnsw": op7_hnsw,
     "op8_passages": op8_passages,
     "op9_quality": op9_quality,
     "op10_packing": op10_packing,
