@@ -14,6 +14,7 @@ from wavelead.llm.near_dup import near_duplicates
 from wavelead.llm.packing import pack_documents
 from wavelead.llm.passages import passages
 from wavelead.llm.pieces import encode_documents
+from wavelead.llm.pseudo_lm import pseudo_likelihood
 from wavelead.llm.quality import score_documents
 from wavelead.llm.sharding import assign
 from wavelead.llm.token_files import token_files
@@ -51,6 +52,10 @@ def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo_likelihood(table(spark, sf_dir, "documents"))
+
+
 def op6_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = judge(table(spark, sf_dir, "documents"), host="source", keep=("doc_id",))
     return judged.drop("shrunk_rate")
@@ -77,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": op2_token_files,
     "op3_sharding": op3_sharding,
     "op4_near_dup": op4_near_dup,
+    "op5_pseudo_likelihood": op5_pseudo_likelihood,
     "op6_host_rules": op6_host_rules,
     "op7_hnsw": op7_hnsw,
     "op8_passages": op8_passages,
