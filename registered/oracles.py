@@ -2,7 +2,39 @@
 
 from __future__ import annotations
 
-from wavelead.functions.wavelet import DEC_HI, DEC_LO, REC_HI, REC_LO
+# The published filter taps of the biorthogonal 6.8 wavelet, padded to 18.
+DEC_LO = (
+    0.0, 0.0019088317364812906, -0.0019142861290887667,
+    -0.016990639867602342, 0.01193456527972926, 0.04973290349094079,
+    -0.07726317316720414, -0.09405920349573646, 0.4207962846098268,
+    0.8259229974584023, 0.4207962846098268, -0.09405920349573646,
+    -0.07726317316720414, 0.04973290349094079, 0.01193456527972926,
+    -0.016990639867602342, -0.0019142861290887667, 0.0019088317364812906,
+)
+DEC_HI = (
+    -0.0, 0.0, -0.0,
+    0.014426282505624435, -0.014467504896790148, -0.07872200106262882,
+    0.04036797903033992, 0.41784910915027457, -0.7589077294536541,
+    0.41784910915027457, 0.04036797903033992, -0.07872200106262882,
+    -0.014467504896790148, 0.014426282505624435, -0.0,
+    0.0, -0.0, 0.0,
+)
+REC_LO = (
+    0.0, 0.0, 0.0,
+    0.014426282505624435, 0.014467504896790148, -0.07872200106262882,
+    -0.04036797903033992, 0.41784910915027457, 0.7589077294536541,
+    0.41784910915027457, -0.04036797903033992, -0.07872200106262882,
+    0.014467504896790148, 0.014426282505624435, 0.0,
+    0.0, 0.0, 0.0,
+)
+REC_HI = (
+    0.0, -0.0019088317364812906, -0.0019142861290887667,
+    0.016990639867602342, 0.01193456527972926, -0.04973290349094079,
+    -0.07726317316720414, 0.09405920349573646, 0.4207962846098268,
+    -0.8259229974584023, 0.4207962846098268, 0.09405920349573646,
+    -0.07726317316720414, -0.04973290349094079, 0.01193456527972926,
+    0.016990639867602342, -0.0019142861290887667, -0.0019088317364812906,
+)
 
 
 def taps(values) -> str:
@@ -113,6 +145,11 @@ def elements(
 
 EVENT_LISTS = "SELECT user_id, list(value ORDER BY i) AS x FROM indexed GROUP BY user_id"
 
+# All events of a type as one long lead.
+TYPE_INDEXED = """SELECT event_id, event_type, value,
+  row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS i FROM events"""
+TYPE_LISTS = "SELECT event_type, list(value ORDER BY i) AS x FROM indexed GROUP BY event_type"
+
 
 def windows(source: str, values: str) -> str:
     """One row per full window of 24 samples of a list column."""
@@ -206,6 +243,26 @@ FILE_LEADS = f"""SELECT vec_id, label, CAST(p % 4 AS INTEGER) AS lead_idx,
     FROM (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings))
   GROUP BY vec_id, label, p % 4"""
 
+FILE_WINDOWS = """SELECT vec_id AS "group", CASE WHEN label > 0 THEN 1 ELSE 0 END AS label,
+  CAST(k AS INTEGER) AS seg_idx, lead_idx, y[8 * k + 1 : 8 * k + 8]::FLOAT[] AS s
+  FROM (SELECT *, unnest(range(0, len(y) // 8)) AS k FROM clean)"""
+
+# Features of a lead, five of them band energies.
+N_FEATURES = 13
+
+# Truth and prediction as cases, with odd values and gaps.
+ODD = """SELECT vec_id AS id, CASE WHEN label < 8 THEN label - 1 > 0 END AS a,
+  CASE WHEN label NOT IN (5, 6) THEN vec_id % 3 > 0 END AS c FROM embeddings"""
+
+
+def score(k: int) -> str:
+    """A number between 0 and 1 made of all values of a vector."""
+    return (
+        "list_avg(list_transform(range(0, len(x)), "
+        f"lambda i: abs(x[i + 1]) * ((i + {k}) % 4 + 1) / 4))"
+    )
+
+
 # The bands of a lead one after another, named by their position.
 BAND_LISTS = " UNION ALL ".join(
     f"SELECT vec_id, {b} AS band, {name} AS w FROM x4"
@@ -214,7 +271,7 @@ BAND_LISTS = " UNION ALL ".join(
 
 ORACLES: dict[str, str] = {
     "sample_index": f"SELECT event_id, user_id, i FROM ({INDEXED})",
-    "sample_index_hot": f"SELECT event_id, user_id, i FROM ({INDEXED})",
+    "sample_index_hot": f"SELECT event_type, event_id, i FROM ({TYPE_INDEXED})",
     "array_to_long": elements(f"({VECTORS})", "vec_id", "x", kind="BIGINT"),
     "long_to_array": f"""SELECT user_id, i // 64 AS chunk_idx, 64 * (i // 64) AS start,
   CAST(i % 64 AS INTEGER) AS pos, {rounded("value")} AS value FROM ({INDEXED})""",
@@ -226,7 +283,7 @@ SELECT user_id, seg_idx, pos, {rounded("value")} AS value FROM s WHERE n = 30"""
     + "\n"
     + elements("segments", "patient_id, lead_idx, seg_idx", "s", "pos"),
     "rate_rejects": f"""SELECT patient_id, lead_idx, 'no window fits the sampling rate' AS reason
-FROM ({LEADS}) WHERE trunc(lead_idx * 0.1::DOUBLE * 3) < 1""",
+FROM ({LEADS}) WHERE lead_idx IN (7, 8, 9, 10) OR trunc(lead_idx * 0.1::DOUBLE * 3) < 1""",
     "float_cast": elements(f"({VECTORS})", "vec_id", "x", value="(v / 3)::FLOAT"),
     "binarize_label": """SELECT vec_id, CASE WHEN label > 0 THEN 1 ELSE 0 END AS label
 FROM embeddings""",
@@ -271,9 +328,10 @@ FROM embeddings e LEFT JOIN labels l ON l.doc_id = e.vec_id""",
     "clean_records": ctes(*denoising(LEADS))
     + "\n"
     + elements("clean", "patient_id, lead_idx", "y"),
-    "denoise_events": ctes(("indexed", INDEXED), *denoising(EVENT_LISTS))
+    "denoise_in_steps": ctes(*denoising(VECTORS)) + "\n" + elements("clean", "vec_id", "y"),
+    "denoise_events": ctes(("indexed", TYPE_INDEXED), *denoising(TYPE_LISTS))
     + "\n"
-    + elements("clean", "user_id", "y", kind="BIGINT"),
+    + elements("clean", "event_type", "y", kind="BIGINT"),
     "preprocess": ctes(*denoising(LEADS), ("segments", windows("clean", "y")))
     + "\n"
     + elements("segments", "patient_id, lead_idx, seg_idx", "s", "pos"),
@@ -290,7 +348,8 @@ FROM shapes ANTI JOIN valid USING (patient_id, seg_idx)""",
     "dataset_report": ctes(*RAW_SEGMENTS)
     + """
 SELECT count(*) AS n_rows, count(label) AS n_labels, count(patient_id) AS n_group_rows,
-  count(DISTINCT patient_id) AS n_groups, count(*) FILTER (WHERE label = 1) AS n_positive,
+  count(DISTINCT patient_id) AS n_groups,
+  count(DISTINCT (patient_id, label, seg_idx)) AS n_segments, count(*) FILTER (WHERE label = 1) AS n_positive,
   count(*) FILTER (WHERE label = 0) AS n_negative, CAST(min(lo) AS INTEGER) AS min_samples,
   CAST(max(hi) AS INTEGER) AS max_samples, CAST(min(n_leads) AS INTEGER) AS min_leads,
   CAST(max(n_leads) AS INTEGER) AS max_leads, count(*) > 0 AS ok FROM valid""",
@@ -300,17 +359,25 @@ FROM ({META})""",
   CAST(p % 4 AS INTEGER) AS lead_idx, ['I', 'II', 'V1', 'V2'][p % 4 + 1] AS lead,
   CAST(p // 4 AS INTEGER) AS i, {rounded("round(v * 1000) / 1000")} AS value
 FROM (SELECT vec_id, unnest(x) AS v, unnest(range(0, len(x))) AS p FROM ({VECTORS}))""",
-    "dataset_from_files": ctes(
-        *denoising(FILE_LEADS),
-        (
-            "windows",
-            """SELECT vec_id AS "group", CASE WHEN label > 0 THEN 1 ELSE 0 END AS label,
-  CAST(k AS INTEGER) AS seg_idx, lead_idx, y[8 * k + 1 : 8 * k + 8]::FLOAT[] AS s
-  FROM (SELECT *, unnest(range(0, len(y) // 8)) AS k FROM clean)""",
-        ),
+    "dataset_from_files": ctes(*denoising(FILE_LEADS), ("windows", FILE_WINDOWS))
+    + "\n"
+    + elements("windows", '"group", label, seg_idx, lead_idx', "s", "pos"),
+    "dataset_with_copies": ctes(
+        *denoising(FILE_LEADS), ("windows", FILE_WINDOWS + " WHERE vec_id % 7 <> 0")
     )
     + "\n"
     + elements("windows", '"group", label, seg_idx, lead_idx', "s", "pos"),
+    "out_of_fold_coverage": f"""SELECT model, l.patient_id * 12 + l.lead_idx AS id, f.fold, f.label,
+  true AS in_range FROM ({LEADS}) l JOIN ({FOLDS}) f USING (patient_id),
+  (VALUES ('logistic'), ('forest')) m(model)""",
+    "stacking_coverage": f"""SELECT 'logistic' AS model, l.patient_id * 12 + l.lead_idx AS id,
+  f.fold, f.label, true AS in_range FROM ({LEADS}) l JOIN ({FOLDS}) f USING (patient_id)""",
+    "ablation_sizes": f"""SELECT mode, feature_group, CAST(n_features AS INTEGER) AS n_features,
+  'logistic' AS model, n FROM (SELECT count(*) AS n FROM embeddings),
+  (VALUES ('all', 'all', {N_FEATURES}), ('without', 'shape', 5), ('only', 'shape', {N_FEATURES - 5}),
+    ('without', 'energy', {N_FEATURES - 5}), ('only', 'energy', 5)) r(mode, feature_group, n_features)""",
+    "importance_of_a_constant": """SELECT 'constant' AS feature, count(*) AS n,
+  0.0::DOUBLE AS accuracy_drop, 0.0::DOUBLE AS log_loss_rise FROM embeddings""",
     "segment_table": ctes(*RAW_SEGMENTS)
     + "\n"
     + elements("labelled", "patient_id, label, lead_idx, lead, seg_idx", "s", "pos"),
@@ -327,26 +394,35 @@ FROM (SELECT vec_id, unnest(x) AS v, unnest(range(0, len(x))) AS p FROM ({VECTOR
     "group_kfold": f"""SELECT l.patient_id, f.label, l.lead_idx, f.fold
 FROM ({LEADS}) l JOIN ({FOLDS}) f USING (patient_id)""",
     "group_kfold_hot": FOLDS,
-    "late_fusion": f"""SELECT vec_id AS id, {rounded("0.65 * abs(x[1]) + 0.35 * abs(x[2])")} AS p
-FROM ({VECTORS})""",
-    "error_analysis": f"""SELECT tp, fn, fp, tn, {rounded("tp / nullif(tp + fn, 0)")} AS sensitivity,
+    "late_fusion": f"""SELECT vec_id AS id,
+  {rounded(f"0.65 * {score(0)} + 0.35 * {score(1)}")} AS p FROM ({VECTORS})""",
+    "error_analysis": f"""SELECT tp, fn, fp, tn, n_unknown, {rounded("tp / nullif(tp + fn, 0)")} AS sensitivity,
   {rounded("tn / nullif(tn + fp, 0)")} AS specificity,
   {rounded("(tp + tn) / nullif(tp + fn + fp + tn, 0)")} AS accuracy
 FROM (SELECT count(*) FILTER (WHERE quality = 1 AND toxic = 1) AS tp,
   count(*) FILTER (WHERE quality = 1 AND toxic <> 1) AS fn,
   count(*) FILTER (WHERE quality <> 1 AND toxic = 1) AS fp,
-  count(*) FILTER (WHERE quality <> 1 AND toxic <> 1) AS tn FROM labels)""",
+  count(*) FILTER (WHERE quality <> 1 AND toxic <> 1) AS tn,
+  count(*) FILTER (WHERE quality IS NULL OR toxic IS NULL) AS n_unknown FROM labels)""",
+    "error_analysis_odd": f"""SELECT count(*) FILTER (WHERE a AND c) AS tp,
+  count(*) FILTER (WHERE a AND NOT c) AS fn, count(*) FILTER (WHERE NOT a AND c) AS fp,
+  count(*) FILTER (WHERE NOT a AND NOT c) AS tn,
+  count(*) FILTER (WHERE a IS NULL OR c IS NULL) AS n_unknown FROM ({ODD})""",
+    "error_list_odd": f"""SELECT id, CASE WHEN a IS NULL OR c IS NULL THEN 'unknown'
+  WHEN a THEN 'missed' ELSE 'false alarm' END AS error
+FROM ({ODD}) WHERE a IS DISTINCT FROM c OR a IS NULL""",
     "error_list": """SELECT doc_id, quality, toxic,
   CASE WHEN quality = 1 THEN 'missed' ELSE 'false alarm' END AS error
 FROM labels WHERE quality <> toxic""",
     "score_columns": "SELECT vec_id AS id, "
-    + ", ".join(f"{rounded(f'abs(x[{k + 1}])')} AS s{k}" for k in range(4))
+    + ", ".join(f"{rounded(score(k))} AS s{k}" for k in range(4))
     + f" FROM ({VECTORS})",
     "score_quality": f"""SELECT source, count(*) AS n,
   {rounded("avg(CASE WHEN (p >= 0.5) = (label = 1) THEN 1 ELSE 0 END)")} AS accuracy,
   {rounded("avg(-ln(CASE WHEN label = 1 THEN p ELSE 1 - p END))")} AS log_loss
 FROM (SELECT label AS source, vec_id % 2 AS label,
-  least(abs(embedding[1]::DOUBLE) * 5, 0.99::DOUBLE) AS p FROM embeddings) GROUP BY source""",
+  least({score(0)} * 8, 0.99::DOUBLE) AS p
+  FROM (SELECT *, embedding::DOUBLE[] AS x FROM embeddings)) GROUP BY source""",
     "permute_column": """SELECT r.id, d.label FROM
   (SELECT vec_id AS id, row_number() OVER (ORDER BY vec_id) AS n FROM embeddings) r JOIN
   (SELECT label, row_number() OVER (ORDER BY md5('42:' || vec_id), vec_id) AS n

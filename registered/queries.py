@@ -14,12 +14,16 @@ from pyspark.sql import functions as F
 from registered.standins import (
     EVENT_CHUNK,
     EVENT_WINDOW,
+    HALO,
+    LONG_CHUNK,
     N_LEADS,
     SHAPE,
+    TYPE,
     USER,
     event_samples,
     labelled_leads,
     leads,
+    long_samples,
     metadata,
     record_files,
     segment_files,
@@ -32,6 +36,7 @@ from wavelead.functions.columns import (
     noise_sigma,
     sample_major,
     soft_threshold,
+    threshold_bands,
     to_float,
     universal_threshold,
 )
@@ -97,8 +102,8 @@ def sample_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sample_index_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same numbering by the way that serves groups too large for one task."""
-    return event_samples(spark, sf_dir, max_group_rows=0).select("event_id", "user_id", "i")
+    """The position of every event within its type: a handful of groups hold all rows."""
+    return long_samples(spark, sf_dir).select("event_type", "event_id", "i")
 
 
 def array_to_long(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,8 +128,15 @@ def segment_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rate_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    slow = leads(spark, sf_dir).withColumn("fs", F.col("lead_idx") * F.lit(0.1))
-    return unsegmentable(slow).select(*LEAD, "reason")
+    """Rates too slow, negative, endless, too large to count with, and no number at all."""
+    rate = (
+        F.when(F.col("lead_idx") == 7, F.lit(float("nan")))
+        .when(F.col("lead_idx") == 8, F.lit(float("inf")))
+        .when(F.col("lead_idx") == 9, F.lit(1e10))
+        .when(F.col("lead_idx") == 10, F.lit(-8.0))
+        .otherwise(F.col("lead_idx") * F.lit(0.1))
+    )
+    return unsegmentable(leads(spark, sf_dir).withColumn("fs", rate)).select(*LEAD, "reason")
 
 
 def float_cast(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -232,6 +244,15 @@ def reconstruct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return values_of(back, ["vec_id"], "signal")
 
 
+def threshold_all_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The denoiser step by step: bands, threshold, shrinking, and back."""
+    limit = universal_threshold(noise_sigma(F.element_at("bands", -1)), F.size("signal"))
+    shrunk = bands(spark, sf_dir).withColumn("limit", limit)
+    shrunk = shrunk.withColumn("bands", threshold_bands(F.col("bands"), F.col("limit")))
+    back = shrunk.withColumn("signal", waverec(F.col("bands"), F.size("signal")))
+    return values_of(back, ["vec_id"], "signal")
+
+
 def denoised(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = vectors(spark, sf_dir).withColumn("signal", denoise(F.col("signal")))
     return values_of(cleaned, ["vec_id"], "signal")
@@ -242,9 +263,9 @@ def clean_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def denoise_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recordings in the long layout, some of them longer than a chunk."""
-    samples = event_samples(spark, sf_dir)
-    cleaned = denoise_samples(samples, USER, chunk=EVENT_CHUNK, halo=512)
+    """Recordings in the long layout, longer than a chunk and what is fetched around it."""
+    samples = long_samples(spark, sf_dir)
+    cleaned = denoise_samples(samples, TYPE, chunk=LONG_CHUNK, halo=HALO)
     return cleaned.withColumn("value", rounded("value"))
 
 
@@ -308,7 +329,12 @@ def decoded_recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dataset_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From the bytes of signal files to data set values, in windows of one second."""
-    headers, signals = record_files(spark, sf_dir)
+    return _dataset_of_files(spark, sf_dir, *record_files(spark, sf_dir))
+
+
+def _dataset_of_files(
+    spark: SparkSession, sf_dir: str, headers: DataFrame, signals: DataFrame
+) -> DataFrame:
     labels = table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("patient_id"), F.array(binarize_label(F.col("label"))).alias("labels")
     )
@@ -350,14 +376,20 @@ def group_kfold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def group_kfold_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Folds of the groups by the way that serves a label too frequent for one task."""
+    """The folds of the groups themselves; two labels hold all of them."""
     rows = labelled_leads(spark, sf_dir).select("patient_id", "label")
-    return group_folds(rows, group="patient_id", max_group_rows=0)
+    return group_folds(rows, group="patient_id")
+
+
+def _score(k: int) -> Column:
+    """A number between 0 and 1 made of all values of a vector."""
+    parts = F.transform("signal", lambda v, i: F.abs(v) * ((i + k) % 4 + 1) / 4)
+    return F.aggregate(parts, F.lit(0.0), lambda a, b: a + b) / F.size("signal")
 
 
 def _scores(spark: SparkSession, sf_dir: str, position: int) -> DataFrame:
     return vectors(spark, sf_dir).select(
-        F.col("vec_id").alias("id"), F.abs(F.get("signal", position)).alias("p")
+        F.col("vec_id").alias("id"), _score(position).alias("p")
     )
 
 
@@ -369,7 +401,25 @@ def fused(spark: SparkSession, sf_dir: str) -> DataFrame:
 def error_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = confusion(table(spark, sf_dir, "labels"), "quality", "toxic")
     rates = ["sensitivity", "specificity", "accuracy"]
-    return counts.select("tp", "fn", "fp", "tn", *[rounded(c).alias(c) for c in rates])
+    return counts.select("tp", "fn", "fp", "tn", "n_unknown", *[rounded(c).alias(c) for c in rates])
+
+
+def _odd_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Truth and prediction with values outside 0 and 1, and gaps."""
+    label = F.col("label")
+    return table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("id"),
+        F.when(label < 8, label - 1).cast("double").alias("label"),
+        F.when(label == 5, float("nan")).when(label != 6, F.col("vec_id") % 3).alias("prediction"),
+    )
+
+
+def error_analysis_odd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return confusion(_odd_labels(spark, sf_dir)).select("tp", "fn", "fp", "tn", "n_unknown")
+
+
+def error_list_odd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return misses(_odd_labels(spark, sf_dir), "id").select("id", "error")
 
 
 def error_list(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -387,7 +437,7 @@ def score_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = vectors(spark, sf_dir).select(
         F.col("label").alias("source"),
         (F.col("vec_id") % 2).cast("int").alias("label"),
-        F.least(F.abs(F.get("signal", 0)) * 5, F.lit(0.99)).alias("p"),
+        F.least(_score(0) * 8, F.lit(0.99)).alias("p"),
     )
     return accuracy(scored, ["source"]).select(
         "source", "n", rounded("accuracy").alias("accuracy"), rounded("log_loss").alias("log_loss")
@@ -429,6 +479,43 @@ def ablation_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ablation(rows, {"shape": shape, "energy": energy})
 
 
+def oof_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row once per model, with its fold and label and a score that is a probability."""
+    return oof_scores(spark, sf_dir).select(
+        "model", "id", "fold", "label", F.col("p").between(0, 1).alias("in_range")
+    )
+
+
+def stacking_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stacked_scores(spark, sf_dir).select(
+        "model", "id", "fold", "label", F.col("p").between(0, 1).alias("in_range")
+    )
+
+
+def ablation_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ablation_runs(spark, sf_dir).select("mode", "feature_group", "n_features", "model", "n")
+
+
+def importance_of_a_constant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dealing out the values of a constant column anew changes nothing."""
+    rows, features = _model_rows(spark, sf_dir)
+    rows = rows.withColumn("constant", F.lit(1.0))
+    found = permutation_importance(rows, [*features, "constant"], columns=["constant"])
+    return found.select(
+        "feature", "n", *[rounded(c).alias(c) for c in ("accuracy_drop", "log_loss_rise")]
+    )
+
+
+def dataset_with_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From files in which every seventh recording occurs in a second folder: those give no rows."""
+    headers, signals = record_files(spark, sf_dir)
+    again = F.regexp_replace("path", "^files/", "copy/")
+    seventh = F.regexp_extract("path", r"(\d+)\.\w+$", 1).cast("long") % 7 == 0
+    headers = headers.unionByName(headers.where(seventh).withColumn("path", again))
+    signals = signals.unionByName(signals.where(seventh).withColumn("path", again))
+    return _dataset_of_files(spark, sf_dir, headers, signals)
+
+
 def importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, features = _model_rows(spark, sf_dir)
     return permutation_importance(rows, features)
@@ -460,6 +547,7 @@ QUERIES: dict[str, Query] = {
     "soft_threshold": soft,
     "waverec": reconstruct,
     "denoise": denoised,
+    "denoise_in_steps": threshold_all_bands,
     "clean_records": clean_records,
     "denoise_events": denoise_events,
     "preprocess": preprocess_records,
@@ -471,6 +559,7 @@ QUERIES: dict[str, Query] = {
     "metadata_scan": metadata_scan,
     "decode_recordings": decoded_recordings,
     "dataset_from_files": dataset_from_files,
+    "dataset_with_copies": dataset_with_copies,
     "segment_table": segment_table,
     "dataset_table": dataset_table,
     "lead_features": features_of_leads,
@@ -480,6 +569,8 @@ QUERIES: dict[str, Query] = {
     "late_fusion": fused,
     "error_analysis": error_analysis,
     "error_list": error_list,
+    "error_analysis_odd": error_analysis_odd,
+    "error_list_odd": error_list_odd,
     "score_columns": score_columns,
     "score_quality": score_quality,
     "permute_column": permuted,
@@ -487,4 +578,8 @@ QUERIES: dict[str, Query] = {
     "stacking": stacked_scores,
     "ablation": ablation_runs,
     "permutation_importance": importance,
+    "out_of_fold_coverage": oof_coverage,
+    "stacking_coverage": stacking_coverage,
+    "ablation_sizes": ablation_sizes,
+    "importance_of_a_constant": importance_of_a_constant,
 }

@@ -21,6 +21,10 @@ SHAPE = (WINDOW, N_LEADS)
 EVENT_WINDOW = 30
 EVENT_CHUNK = 64
 USER = ["user_id"]
+# Long leads: all events of a type, in chunks much shorter than the lead.
+TYPE = ["event_type"]
+LONG_CHUNK = 1024
+HALO = 512
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,10 +62,16 @@ def labelled_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leads(spark, sf_dir).join(meta, "patient_id")
 
 
-def event_samples(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+def event_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples ``(user_id, i, value)`` in the order of time."""
     events = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
-    return index_samples(events, ["ts", "event_id"], USER, **options)
+    return index_samples(events, ["ts", "event_id"], USER)
+
+
+def long_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples ``(event_type, i, value)``: few leads of many samples each."""
+    events = table(spark, sf_dir, "events").select("event_type", "ts", "event_id", "value")
+    return index_samples(events, ["ts", "event_id"], TYPE)
 
 
 def segment_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,9 +25,8 @@ def skewed(spark):
     return spark.createDataFrame(rows, "id string, t int, payload string").repartition(5)
 
 
-@pytest.mark.parametrize("limit", [0, 100, 10_000])
-def test_row_index_is_the_position_in_the_group(skewed, limit):
-    rows = row_index(skewed, ["id"], ["t"], max_group_rows=limit, count="n").collect()
+def test_row_index_is_the_position_in_the_group(skewed):
+    rows = row_index(skewed, ["id"], ["t"], count="n").collect()
     assert len(rows) == skewed.count()
     assert all(r["i"] == r["t"] for r in rows)
     sizes = Counter(r["id"] for r in rows)
@@ -35,9 +34,11 @@ def test_row_index_is_the_position_in_the_group(skewed, limit):
     assert {r["payload"] for r in rows if r["id"] == "hot"} == {f"x{t}" for t in range(900)}
 
 
-@pytest.mark.parametrize("limit", [0, 10_000])
-def test_row_index_over_everything(skewed, limit):
-    rows = row_index(skewed, [], ["id", "t"], max_group_rows=limit).orderBy("i").collect()
+def test_row_index_over_everything(skewed):
+    numbered = row_index(skewed, [], ["id", "t"])
+    plan = numbered._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
+    rows = numbered.orderBy("i").collect()
     assert [r["i"] for r in rows] == list(range(skewed.count()))
     keys = [(r["id"] is not None, r["id"] or "", r["t"]) for r in rows]
     assert keys == sorted(keys)
@@ -74,8 +75,7 @@ def test_halo_holds_the_neighbours(spark):
         assert row["signal"] == [float(v) for v in range(first, last)]
 
 
-@pytest.mark.parametrize("limit", [0, 1_000_000])
-def test_long_leads_are_denoised_as_a_whole(spark, limit):
+def test_long_leads_are_denoised_as_a_whole(spark):
     """Chunked work gives what the transform of the whole lead gives."""
     rng = np.random.default_rng(8)
     leads = {1: 2000, 2: 1025, 3: 1024, 4: 1023, 5: 300, 6: 2049, 7: 1, 8: 2561, 9: 1500}
@@ -83,7 +83,7 @@ def test_long_leads_are_denoised_as_a_whole(spark, limit):
     signals[9][700] = np.nan
     rows = [(p, 0, i, float(v)) for p, x in signals.items() for i, v in enumerate(x)]
     samples = spark.createDataFrame(rows, "patient_id long, lead_idx int, i long, value double")
-    out = denoise_samples(samples, chunk=1024, halo=512, max_group_rows=limit).toPandas()
+    out = denoise_samples(samples, chunk=1024, halo=512).toPandas()
     assert len(out) == len(rows)
     for p, x in signals.items():
         part = out[out.patient_id == p].sort_values("i")
@@ -121,6 +121,9 @@ def test_windows(spark):
 
 
 def test_rate_without_a_window(spark):
+    for rate in (float("nan"), float("inf"), 1e10, -8.0, None):
+        odd = lead_frame(spark, {1: [1.0] * 30}).withColumn("fs", F.lit(rate).cast("double"))
+        assert segment_leads(odd).count() == 0 and unsegmentable(odd).count() == 1
     leads = lead_frame(spark, {1: [1.0] * 30}).withColumn("fs", F.lit(0.2))
     assert segment_leads(leads).count() == 0
     assert [r["patient_id"] for r in unsegmentable(leads).collect()] == [1]

@@ -123,3 +123,11 @@ def test_fusion_and_errors(spark):
     assert found == {2: "missed", 4: "false alarm"}
     none = confusion(df.where("label = 0")).first()
     assert none["sensitivity"] is None
+    odd = spark.createDataFrame(
+        [(1, 2.0, 0.0), (2, 3.0, 1.0), (3, None, 1.0), (4, 0.0, float("nan")), (5, -1.0, 0.0)],
+        "id long, label double, prediction double",
+    )
+    row = confusion(odd).first()
+    assert (row["tp"], row["fn"], row["fp"], row["tn"], row["n_unknown"]) == (1, 1, 0, 1, 2)
+    found = {r["id"]: r["error"] for r in misses(odd, "id").collect()}
+    assert found == {1: "missed", 3: "unknown", 4: "unknown"}

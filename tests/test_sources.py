@@ -6,9 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from wavelead.functions.wavelet import denoise_block
-from wavelead.plans.prepare import prepare
-from wavelead.sources.metadata import read_metadata
+from wavelead.plans.prepare import judged_windows, prepare
+from wavelead.sources.metadata import CORRUPT, read_metadata, split_metadata
 from wavelead.sources.recordings import (
+    decode_recordings,
     match_recordings,
     parse_headers,
     read_recordings,
@@ -53,6 +54,21 @@ def test_metadata(spark, tmp_path):
         read_metadata(spark, str(path))
 
 
+def test_metadata_of_several_headers(spark, tmp_path):
+    folder = tmp_path / "meta data"
+    folder.mkdir()
+    (folder / "a.csv").write_text("patient_id,brugada\n1,0\n")
+    (folder / "b.csv").write_text("brugada,site,patient_id\n1,x,2\ntype1,y,3\n,z,4\n1,q,\n")
+    (folder / "c.csv").write_text("patient_id,brugada\n5,2\n")
+    good, bad = split_metadata(read_metadata(spark, str(folder), corrupt=CORRUPT))
+    rows = {r["patient_id"]: (r["brugada"], r["site"]) for r in good.collect()}
+    assert rows == {1: (0.0, None), 2: (1.0, "x"), 4: (None, "z"), 5: (2.0, None)}
+    assert {(r["line"], r["reason"]) for r in bad.collect()} == {
+        ("type1,y,3", "line not understood"),
+        (None, "patient number is missing"),
+    }
+
+
 def test_recordings(spark, tmp_path):
     write_record(tmp_path / "1", "1", [[100, -5], [-32768, 7], [0, 1]], [200, 10], [10, 0])
     write_record(tmp_path / "2", "2", [[1], [2]], [0], fs="50/1(0)", lead_names=["aVR x"])
@@ -176,7 +192,8 @@ def test_the_whole_way(spark, tmp_path):
         spark, str(raw / "metadata.csv"), str(raw / "files"), str(out), keep_segments=True
     ).first()
     assert report["n_rows"] == 5 and report["ok"]
-    rows = {(r["group"], r["seg_idx"]): r for r in read_dataset(spark, str(out / "dataset")).collect()}
+    dataset = read_dataset(spark, str(out / "windows" / "kind=dataset"))
+    rows = {(r["group"], r["seg_idx"]): r for r in dataset.collect()}
     assert sorted(rows) == [(1, 0), (1, 1), (2, 0), (2, 1), (5, 0)]
     for (p, k), row in rows.items():
         clean = denoise_block(signals[p].T / 200.0)
@@ -189,6 +206,32 @@ def test_the_whole_way(spark, tmp_path):
     assert profile[3]["n_segments"] == 0 and profile[2]["n_samples"] == 601
     assert read_segments(spark, str(out / "segments")).count() == (2 + 2) * 12 + 2 * 11 + 12
 
+    def reasons(table):
+        return {tuple(r) for r in spark.read.parquet(str(out / table)).collect()}
+
+    # A copied folder, a diagnosis that is no number, a recording without metadata, an endless rate.
+    write_record(raw / "files" / "copy" / "1", "1", signals[1].tolist(), [200] * 12)
+    write_record(raw / "files" / "6", "6", signals[2].tolist(), [200] * 12, fs="1e10")
+    (raw / "metadata.csv").write_text("patient_id,brugada\n1,0\n2,2\n3,type1\n4,0\n5,1\n6,0\n")
+    report = prepare(spark, str(raw / "metadata.csv"), str(raw / "files"), str(out)).first()
+    assert report["ok"] and report["n_rows"] == report["n_segments"] == 3
+    assert {(r[1], r[3]) for r in reasons("recording_rejects")} == {("1", "patient has several recordings")}
+    assert {r[-1] for r in reasons("metadata_rejects")} == {"line not understood"}
+    assert {r[0] for r in reasons("unlabelled_recordings")} == {3}
+    assert {r[0] for r in reasons("rate_rejects")} == {6}
+    assert {r["patient_id"] for r in spark.read.parquet(str(out / "profile")).collect()} == {2, 3, 4, 5, 6}
+
     (raw / "metadata.csv").write_text("patient_id,brugada\n1,0\n77,1\n")
     with pytest.raises(FileNotFoundError):
         prepare(spark, str(raw / "metadata.csv"), str(raw / "files"), str(out))
+
+
+def test_signals_are_cleaned_once(spark, tmp_path):
+    """One step of Python functions in the plan of all windows: decoding with cleaning."""
+    write_record(tmp_path / "1", "1", [[1] * 12] * 700, [200] * 12)
+    labels = spark.createDataFrame([(1, [0])], "patient_id long, labels array<int>")
+    decoded = decode_recordings(match_recordings(spark, str(tmp_path), labels=labels))
+    windows = judged_windows(decoded.where("n_files = 1"))
+    plan = windows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    assert windows.where("kind = 'dataset'").count() == 2

@@ -41,7 +41,8 @@ def window_size(fs, duration: float = 3) -> Column:
         if int(duration * fs) < 1:
             raise ValueError(f"no window fits duration={duration} at fs={fs}")
         return F.lit(int(duration * fs))
-    size = (fs.cast("double") * F.lit(float(duration))).cast("int")
+    # A rate that is no number, or too large for a count, gives null as well.
+    size = (fs.cast("double") * F.lit(float(duration))).try_cast("int")
     return F.when(size >= 1, size)
 
 

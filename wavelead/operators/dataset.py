@@ -63,7 +63,8 @@ def collect_recordings(leads: DataFrame, n_leads: int = SHAPE[1]) -> DataFrame:
     )
 
 
-def _shape_problem(shape: tuple[int, int]) -> Column:
+def shape_problem(shape: tuple[int, int]) -> Column:
+    """Why a collated segment has not exactly the wanted shape; null if it has."""
     n_samples, n_leads = shape
     return (
         F.when(F.col("min_samples") != F.col("max_samples"), "leads differ in length")
@@ -80,7 +81,7 @@ def _shape_problem(shape: tuple[int, int]) -> Column:
 
 def dataset_rows(collated: DataFrame, shape: tuple[int, int] = SHAPE) -> DataFrame:
     """The segments of exactly the wanted shape, as rows of the data set."""
-    return collated.where(_shape_problem(shape).isNull()).select(
+    return collated.where(shape_problem(shape).isNull()).select(
         F.col("patient_id").alias("group"),
         "label",
         "seg_idx",
@@ -92,7 +93,7 @@ def dataset_rows(collated: DataFrame, shape: tuple[int, int] = SHAPE) -> DataFra
 
 def shape_rejects(collated: DataFrame, shape: tuple[int, int] = SHAPE) -> DataFrame:
     """The other segments, with the reason."""
-    reason = _shape_problem(shape)
+    reason = shape_problem(shape)
     return collated.where(reason.isNotNull()).select(*SEGMENT, reason.alias("reason"))
 
 
@@ -105,6 +106,7 @@ def dataset_report(
         dataset.select(
             "group",
             "label",
+            "seg_idx",
             F.size("x").alias("leads"),
             F.array_min(inner).alias("shortest"),
             F.array_max(inner).alias("longest"),
@@ -114,6 +116,7 @@ def dataset_report(
             F.count("label").alias("n_labels"),
             F.count("group").alias("n_group_rows"),
             F.count_distinct("group").alias("n_groups"),
+            F.count_distinct(F.struct("group", "label", "seg_idx")).alias("n_segments"),
             F.count_if(F.col("label") == 1).alias("n_positive"),
             F.count_if(F.col("label") == 0).alias("n_negative"),
             F.min("shortest").alias("min_samples"),
@@ -126,6 +129,8 @@ def dataset_report(
             (F.col("n_rows") > 0)
             & (F.col("n_labels") == F.col("n_rows"))
             & (F.col("n_group_rows") == F.col("n_rows"))
+            # No segment twice.
+            & (F.col("n_segments") == F.col("n_rows"))
             & (F.col("min_samples") == shape[0])
             & (F.col("max_samples") == shape[0])
             & (F.col("min_leads") == shape[1])

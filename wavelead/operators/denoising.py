@@ -18,7 +18,7 @@ from wavelead.functions.wavelet import (
     finest_detail,
 )
 from wavelead.operators.layout import CHUNK, LEAD, arrays_to_samples, samples_to_arrays
-from wavelead.operators.ranking import MAX_GROUP_ROWS, row_index
+from wavelead.operators.ranking import row_index
 from wavelead.storage import materialize
 
 Step = Callable[[Column], Column]
@@ -42,7 +42,6 @@ def denoise_samples(
     halo: int = 1024,
     wavelet: str = WAVELET,
     level: int = LEVEL,
-    max_group_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Denoise samples ``(by, i, value)`` of leads of any length.
 
@@ -65,7 +64,7 @@ def denoise_samples(
         *by, "start", denoise(F.col("signal"), wavelet, level).alias("signal")
     )
     parts = chunks.where(~whole)
-    limits = _chunk_thresholds(parts, by, chunk, max_group_rows)
+    limits = _chunk_thresholds(parts, by, chunk)
     long = (
         parts.join(limits, [*by, "chunk_idx"])
         .withColumn("signal", denoise_with(F.col("signal"), F.col("threshold"), wavelet, level))
@@ -78,9 +77,7 @@ def denoise_samples(
     return arrays_to_samples(short.unionByName(long), by, start="start")
 
 
-def _chunk_thresholds(
-    parts: DataFrame, by: list[str], chunk: int, max_group_rows: int
-) -> DataFrame:
+def _chunk_thresholds(parts: DataFrame, by: list[str], chunk: int) -> DataFrame:
     """Threshold of every lead that spans several chunks, one row per chunk."""
     end = F.col("start") + F.size("signal")
     has_nan = F.exists("signal", lambda v: v.isNull() | F.isnan(v))
@@ -102,7 +99,7 @@ def _chunk_thresholds(
         .where((k >= F.col("first")) & (F.col("is_last") | (k < F.col("first") + chunk // 2)))
         .select(*by, k.alias("k"), F.abs("_d").alias("v"))
     )
-    ranked = row_index(values, by, ["v", "k"], "rank", max_group_rows, count="n_detail")
+    ranked = row_index(values, by, ["v", "k"], "rank", count="n_detail")
 
     n_detail = F.col("n_detail")
     middle = F.col("rank").isin(whole_div(n_detail - 1, 2), whole_div(n_detail, 2))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed value: weight of the first of two fused models.
@@ -23,14 +23,25 @@ def late_fusion(
     return a.join(b, key).select(key, fused.alias(score))
 
 
+def _positive(column: str) -> Column:
+    """A case is what the binary label calls one: anything above 0. Null and NaN are unknown."""
+    value = F.col(column).cast("double")
+    return F.when(value.isNull() | F.isnan(value), None).otherwise(value > 0)
+
+
 def confusion(rows: DataFrame, truth: str = "label", prediction: str = "prediction") -> DataFrame:
-    """One row: confusion counts, sensitivity, specificity and accuracy."""
-    actual, called = F.col(truth) == 1, F.col(prediction) == 1
+    """One row: confusion counts, sensitivity, specificity and accuracy.
+
+    ``n_unknown`` counts the rows whose truth or prediction is not known; they
+    are in none of the other figures.
+    """
+    actual, called = _positive(truth), _positive(prediction)
     counts = rows.agg(
         F.count_if(actual & called).alias("tp"),
         F.count_if(actual & ~called).alias("fn"),
         F.count_if(~actual & called).alias("fp"),
         F.count_if(~actual & ~called).alias("tn"),
+        F.count_if(actual.isNull() | called.isNull()).alias("n_unknown"),
     )
     tp, fn, fp, tn = (F.col(c) for c in ("tp", "fn", "fp", "tn"))
     return counts.select(
@@ -44,10 +55,11 @@ def confusion(rows: DataFrame, truth: str = "label", prediction: str = "predicti
 def misses(
     rows: DataFrame, key: str, truth: str = "label", prediction: str = "prediction"
 ) -> DataFrame:
-    """The rows that were called wrongly, with the kind of error."""
-    return rows.where(F.col(truth) != F.col(prediction)).select(
-        key,
-        truth,
-        prediction,
-        F.when(F.col(truth) == 1, "missed").otherwise("false alarm").alias("error"),
+    """The rows that :func:`confusion` does not count as right, with the kind of error."""
+    actual, called = _positive(truth), _positive(prediction)
+    error = (
+        F.when(actual.isNull() | called.isNull(), "unknown")
+        .when(actual & ~called, "missed")
+        .when(~actual & called, "false alarm")
     )
+    return rows.select(key, truth, prediction, error.alias("error")).where("error IS NOT NULL")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavelead.operators.ranking import MAX_GROUP_ROWS, row_index
+from wavelead.operators.ranking import row_index
 
 
 def group_folds(
@@ -13,7 +13,6 @@ def group_folds(
     k: int = 5,
     group: str = "group",
     label: str = "label",
-    max_group_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """One row per group with its label (the highest of its rows) and its ``fold``.
 
@@ -21,7 +20,7 @@ def group_folds(
     share of both labels.
     """
     groups = rows.groupBy(group).agg(F.max(label).alias(label))
-    ranked = row_index(groups, [label], [group], "_rank", max_group_rows)
+    ranked = row_index(groups, [label], [group], "_rank")
     return ranked.select(group, label, (F.col("_rank") % k).cast("int").alias("fold"))
 
 
@@ -30,8 +29,7 @@ def assign_folds(
     k: int = 5,
     group: str = "group",
     label: str = "label",
-    max_group_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Add ``fold``; all rows of a group share one."""
-    folds = group_folds(rows, k, group, label, max_group_rows).select(group, "fold")
+    folds = group_folds(rows, k, group, label).select(group, "fold")
     return rows.join(folds, group)

@@ -6,21 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavelead.functions.columns import whole_div
-from wavelead.operators.ranking import MAX_GROUP_ROWS, row_index
+from wavelead.operators.ranking import row_index
 
 LEAD = ["patient_id", "lead_idx"]
 # Longest stretch of a lead kept in one array row.
 CHUNK = 65_536
 
 
-def index_samples(
-    samples: DataFrame,
-    order: list[str],
-    by: list[str] = LEAD,
-    max_group_rows: int = MAX_GROUP_ROWS,
-) -> DataFrame:
+def index_samples(samples: DataFrame, order: list[str], by: list[str] = LEAD) -> DataFrame:
     """Number the samples of every lead from 0 in ``order`` (time first, then a tie-breaker)."""
-    return row_index(samples, by, order, "i", max_group_rows)
+    return row_index(samples, by, order, "i")
 
 
 def arrays_to_samples(

@@ -7,19 +7,25 @@ pass over the rows is a distributed job.
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial, reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Pipeline
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavelead.operators.ranking import MAX_GROUP_ROWS, row_index
+from wavelead.operators.ranking import row_index
 from wavelead.storage import materialize
 
 SEED = 42
+# Fits that run at the same time, and the most folds that a table may have.
+PARALLEL = 4
+MAX_FOLDS = 50
 
 
 def logistic(reg: float = 0.01) -> list[Estimator]:
@@ -39,10 +45,11 @@ MODELS = {"logistic": logistic, "forest": forest}
 
 
 def _fit(train: DataFrame, features: list[str], stages: list[Estimator]):
-    # The assembler takes plain numeric columns; rows with a null or NaN
-    # feature stay in and would fail the fit, so the caller fills them first.
-    assembler = VectorAssembler(inputCols=features, outputCol="assembled", handleInvalid="error")
-    return Pipeline(stages=[assembler, *stages]).fit(train)
+    # Gaps (null or NaN) are filled by the mean of the rows that are learned from.
+    filled = [f"_filled_{name}" for name in features]
+    imputer = Imputer(inputCols=features, outputCols=filled, strategy="mean")
+    assembler = VectorAssembler(inputCols=filled, outputCol="assembled", handleInvalid="error")
+    return Pipeline(stages=[imputer, assembler, *stages]).fit(train)
 
 
 def _score(model, rows: DataFrame) -> DataFrame:
@@ -50,6 +57,21 @@ def _score(model, rows: DataFrame) -> DataFrame:
     return model.transform(rows).withColumn("p", p)
 
 
+def _fold_numbers(rows: DataFrame) -> list:
+    """The folds of a table; more than ``MAX_FOLDS`` of them are an error, as each is a fit."""
+    folds = [r["fold"] for r in rows.select("fold").distinct().limit(MAX_FOLDS + 1).collect()]
+    if len(folds) > MAX_FOLDS:
+        raise ValueError(f"more than {MAX_FOLDS} folds")
+    return sorted(folds)
+
+
+def _in_parallel(spark: SparkSession, jobs: list[Callable]) -> list:
+    """Results of several fits; a few at a time keep the cluster busy between their short stages."""
+    inherit = inheritable_thread_target(spark)
+    with ThreadPoolExecutor(PARALLEL) as pool:
+        return [f.result() for f in [pool.submit(inherit(job)) for job in jobs]]
+
+
 def out_of_fold(
     rows: DataFrame,
     features: list[str],
@@ -64,24 +86,33 @@ def out_of_fold(
     # The rows are read once per fold and model; a table spares recomputing the
     # features each time, and scoring a fold reads that fold only.
     rows = materialize(rows.select(key, "label", "fold", *features), "features", ("fold",))
-    return _cross_validate(rows, features, models, key)
+    return _cross_validate(rows, [(features, models)], key)[0]
 
 
 def _cross_validate(
-    rows: DataFrame, features: list[str], models: tuple[str, ...], key: str
-) -> DataFrame:
-    folds = [r["fold"] for r in rows.select("fold").distinct().orderBy("fold").collect()]
-    parts = []
-    for name in models:
-        for fold in folds:
-            model = _fit(rows.where(F.col("fold") != fold), features, MODELS[name]())
-            held_out = _score(model, rows.where(F.col("fold") == fold))
-            parts.append(
-                held_out.select(
-                    F.lit(name).alias("model"), key, "fold", F.col("label").cast("int"), "p"
-                )
-            )
-    return reduce(DataFrame.unionByName, parts)
+    rows: DataFrame, runs: list[tuple[list[str], tuple[str, ...]]], key: str
+) -> list[DataFrame]:
+    """Out-of-fold scores of every run, a list of features and the models to fit on them."""
+    folds = _fold_numbers(rows)
+
+    def job(features: list[str], name: str, fold) -> DataFrame:
+        model = _fit(rows.where(F.col("fold") != fold), features, MODELS[name]())
+        held_out = _score(model, rows.where(F.col("fold") == fold))
+        return held_out.select(
+            F.lit(name).alias("model"), key, "fold", F.col("label").cast("int"), "p"
+        )
+
+    jobs = [
+        (n, partial(job, features, name, fold))
+        for n, (features, models) in enumerate(runs)
+        for name in models
+        for fold in folds
+    ]
+    parts = _in_parallel(rows.sparkSession, [j for _, j in jobs])
+    return [
+        reduce(DataFrame.unionByName, [p for (n, _), p in zip(jobs, parts) if n == run])
+        for run in range(len(runs))
+    ]
 
 
 def stack_scores(scores: dict[str, DataFrame], key: str = "id") -> DataFrame:
@@ -127,48 +158,38 @@ def ablation(
             runs["without", name] = rest
         runs["only", name] = columns
     rows = materialize(rows.select(key, "label", "fold", *everything), "ablation", ("fold",))
-    results = []
-    for (mode, name), columns in runs.items():
-        scored = _cross_validate(rows, columns, models, key)
-        results.append(
-            accuracy(scored, ["model"]).select(
-                F.lit(mode).alias("mode"),
-                F.lit(name).alias("feature_group"),
-                F.lit(len(columns)).alias("n_features"),
-                "*",
-            )
+    scored = _cross_validate(rows, [(columns, models) for columns in runs.values()], key)
+    results = [
+        accuracy(table, ["model"]).select(
+            F.lit(mode).alias("mode"),
+            F.lit(name).alias("feature_group"),
+            F.lit(len(columns)).alias("n_features"),
+            "*",
         )
+        for ((mode, name), columns), table in zip(runs.items(), scored)
+    ]
     return reduce(DataFrame.unionByName, results)
 
 
-def permute_column(
-    rows: DataFrame,
-    column: str,
-    key: str = "id",
-    seed: int = SEED,
-    max_group_rows: int = MAX_GROUP_ROWS,
-) -> DataFrame:
+def permute_column(rows: DataFrame, column: str, key: str = "id", seed: int = SEED) -> DataFrame:
     """Deal the values of a column out anew over all rows.
 
     The rows are numbered by ``key`` and, for the donors, by a seeded hash of
     it; equal numbers trade values. Both numberings are distributed.
     """
-    receivers, donors = _numbered(rows, key, seed, max_group_rows)
-    return _take_over(receivers, donors, column).select(*rows.columns)
+    return _with_donors(rows, [column], key, seed).select(
+        *[F.col(f"_of_{c}" if c == column else c).alias(c) for c in rows.columns]
+    )
 
 
-def _numbered(
-    rows: DataFrame, key: str, seed: int, max_group_rows: int
-) -> tuple[DataFrame, DataFrame]:
+def _with_donors(rows: DataFrame, columns: list[str], key: str, seed: int) -> DataFrame:
+    """Rows beside the ``columns`` of another row each, as ``_of_<name>``: one join for all of them."""
     shuffled = rows.withColumn("_shuffled", F.md5(F.concat_ws(":", F.lit(seed), key)))
-    return (
-        row_index(rows, [], [key], "_n", max_group_rows),
-        row_index(shuffled, [], ["_shuffled", key], "_n", max_group_rows),
+    receivers = row_index(rows, [], [key], "_n")
+    donors = row_index(shuffled, [], ["_shuffled", key], "_n").select(
+        "_n", *[F.col(c).alias(f"_of_{c}") for c in columns]
     )
-
-
-def _take_over(receivers: DataFrame, donors: DataFrame, column: str) -> DataFrame:
-    return receivers.drop(column).join(donors.select("_n", column), "_n")
+    return receivers.join(donors, "_n").drop("_n")
 
 
 def permutation_importance(
@@ -178,23 +199,32 @@ def permutation_importance(
     columns: list[str] | None = None,
     key: str = "id",
     seed: int = SEED,
-    max_group_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
-    """Loss of quality on the rows when one column is permuted, per column."""
-    rows = materialize(rows.select(key, "label", *features), "importance")
-    fitted = _fit(rows, features, MODELS[model]())
-    base = accuracy(_score(fitted, rows), []).first()
-    # The numbering is the same for every column and done once.
-    receivers, donors = (
-        materialize(df, "permutation") for df in _numbered(rows, key, seed, max_group_rows)
-    )
-    results = []
-    for column in columns or features:
-        permuted = _take_over(receivers, donors, column)
-        results.append(
-            accuracy(_score(fitted, permuted), []).select(F.lit(column).alias("feature"), "*")
-        )
-    return reduce(DataFrame.unionByName, results).select(
+    """Loss of out-of-fold quality when one column is permuted, per column.
+
+    ``rows`` has a ``fold``: every row is scored, with its own value and with
+    that of another row, by a model that was trained on the other folds.
+    """
+    columns = columns or features
+    rows = rows.select(key, "label", "fold", *features)
+    both = materialize(_with_donors(rows, columns, key, seed), "importance", ("fold",))
+
+    def job(fold) -> list[DataFrame]:
+        fitted = _fit(both.where(F.col("fold") != fold), features, MODELS[model]())
+        held_out = both.where(F.col("fold") == fold)
+        scored = [_score(fitted, held_out).select(F.lit(None).cast("string").alias("feature"), "label", "p")]
+        for column in columns:
+            permuted = held_out.withColumn(column, F.col(f"_of_{column}"))
+            scored.append(_score(fitted, permuted).select(F.lit(column).alias("feature"), "label", "p"))
+        return scored
+
+    jobs = [partial(job, fold) for fold in _fold_numbers(both)]
+    parts = [p for of_fold in _in_parallel(rows.sparkSession, jobs) for p in of_fold]
+    quality = accuracy(reduce(DataFrame.unionByName, parts), ["feature"])
+    # A row per column and one for the values as they are.
+    quality = materialize(quality, "quality")
+    base = quality.where("feature IS NULL").first()
+    return quality.where("feature IS NOT NULL").select(
         "feature",
         "n",
         (base["accuracy"] - F.col("accuracy")).alias("accuracy_drop"),

@@ -41,12 +41,15 @@ def segment_recordings(
     n_leads: int,
     fs: Column | float | None = None,
     duration: float = 3,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """One row per window of a recording, all leads together in the matrix ``x``.
 
     Takes rows with all leads of a recording in ``signals``; no shuffle either.
     ``x`` holds those of the first ``n_leads`` leads that fill the window; the
     column ``n_leads`` also counts the surplus, leads beyond and repeated rows.
+    With columns to ``keep``, a recording without windows has one row, whose
+    ``seg_idx`` is null.
     """
     size = window_size(F.col("fs") if fs is None else fs, duration)
     most = F.array_max(F.transform("signals", lambda lead: count_windows(lead, size)))
@@ -57,14 +60,16 @@ def segment_recordings(
         ]
     )
     length = F.transform("x", lambda lead: F.size(lead))
+    generate = F.explode_outer if keep else F.explode
     return (
         recordings.select(
             "patient_id",
             "label",
+            *keep,
             "n_surplus",
             "signals",
             size.alias("_size"),
-            F.explode(window_numbers(most)).alias("seg_idx"),
+            generate(window_numbers(most)).alias("seg_idx"),
         )
         # As in segment_leads, a generator of one row.
         .select("*", F.explode(F.array(parts)).alias("_parts"))
@@ -72,6 +77,7 @@ def segment_recordings(
         .select(
             "patient_id",
             "label",
+            *keep,
             "seg_idx",
             (F.size("x") + F.col("n_surplus")).alias("n_leads"),
             F.array_min(length).alias("min_samples"),

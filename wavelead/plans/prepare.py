@@ -14,30 +14,34 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wavelead.functions.columns import count_windows, window_size
 from wavelead.functions.wavelet import denoise, denoise_all
 from wavelead.operators.dataset import (
     SHAPE,
     collect_recordings,
     dataset_report,
     dataset_rows,
-    shape_rejects,
+    shape_problem,
 )
 from wavelead.operators.denoising import Step, clean_leads
 from wavelead.operators.records import (
+    cohort_summary,
+    completeness,
     label_metadata,
     label_sets,
     missing_recordings,
-    recording_profile,
 )
 from wavelead.operators.segment import segment_leads, segment_recordings, unsegmentable
-from wavelead.sources.metadata import read_metadata
+from wavelead.sources.metadata import CORRUPT, read_metadata, split_metadata
 from wavelead.sources.recordings import (
     decode_recordings,
     lead_rows,
     match_recordings,
+    read_headers,
     recording_rejects,
+    whole_recordings,
 )
-from wavelead.sources.tables import read_dataset, write_dataset, write_segments
+from wavelead.sources.tables import read_dataset, write_segments
 
 
 # Segments are floats, so the last cleaning step may as well give floats.
@@ -72,28 +76,82 @@ def build_dataset(
     return dataset_rows(segment_matrices(leads, duration, shape[1]), shape)
 
 
+def cut_recordings(
+    whole: DataFrame,
+    duration: float = 3,
+    n_leads: int = SHAPE[1],
+    keep: tuple[str, ...] = (),
+) -> DataFrame:
+    """Windows of cleaned recordings from rows that hold all their leads and ``labels``.
+
+    A patient listed under both labels gives segments for either.
+    """
+    label = F.explode_outer("labels") if keep else F.explode("labels")
+    cleaned = (
+        whole.withColumn("signals", denoise_all(F.col("signals"), dtype="float"))
+        .withColumn("n_surplus", F.greatest(F.size("signals") - n_leads, F.lit(0)))
+        .withColumn("label", label)
+    )
+    return segment_recordings(cleaned, n_leads, duration=duration, keep=keep)
+
+
 def matrices_of_decoded(
     decoded: DataFrame, duration: float = 3, n_leads: int = SHAPE[1]
 ) -> DataFrame:
-    """The same from decoded signal files that carry their ``labels``.
+    """The windows of labelled recordings, ready for the check of their shape.
 
     A recording kept in one file arrives with all its leads in one row and is
     cleaned and cut without any shuffle; only recordings spread over several
-    files have to be brought together. A patient listed under both labels
-    gives segments for either.
+    files are brought together first, and then treated alike.
     """
-    labelled = decoded.where(F.size("labels") > 0)
-    whole = (
-        labelled.where(F.col("n_files") == 1)
-        .withColumn("signals", denoise_all(F.col("signals"), dtype="float"))
-        .withColumn("n_surplus", F.greatest(F.size("signals") - n_leads, F.lit(0)))
-        .withColumn("label", F.explode("labels"))
+    whole = whole_recordings(decoded.where(F.size("labels") > 0))
+    return cut_recordings(whole, duration, n_leads)
+
+
+PROFILE = ("fs", "profile")
+
+
+def judged_windows(
+    decoded: DataFrame, duration: float = 3, shape: tuple[int, int] = SHAPE
+) -> DataFrame:
+    """All windows with what becomes of them in ``kind``, and the profile of their recording.
+
+    ``kind`` is ``dataset``, ``reject`` (with a ``reason``; its matrix is not
+    kept), ``unlabelled`` (no metadata), or ``none`` for the one row of a
+    recording without windows. Everything is told from one pass over the
+    signals, so they are decoded, cleaned and cut once.
+    """
+    windows = count_windows(F.get("signals", 0), window_size(F.col("fs"), duration))
+    length = F.transform("signals", lambda lead: F.size(lead))
+    missing = F.transform("signals", lambda lead: F.size(F.filter(lead, lambda v: v.isNull() | F.isnan(v))))
+    profile = F.struct(
+        F.array_max(length).alias("n_samples"),
+        F.size("signals").alias("n_leads"),
+        windows.alias("n_segments"),
+        F.aggregate(missing, F.lit(0), lambda a, b: a + b).alias("n_missing"),
+        "lead_idx",
+        F.col("lead").alias("leads"),
     )
-    spread = lead_rows(labelled.where(F.col("n_files") > 1)).withColumn(
-        "label", F.explode("labels")
+    whole = whole_recordings(decoded).withColumn("profile", profile)
+    cut = cut_recordings(whole, duration, shape[1], PROFILE)
+    reason = F.when(F.col("seg_idx").isNotNull(), shape_problem(shape))
+    kind = (
+        F.when(F.col("seg_idx").isNull(), "none")
+        .when(F.col("label").isNull(), "unlabelled")
+        .when(reason.isNull(), "dataset")
+        .otherwise("reject")
     )
-    return segment_recordings(whole, n_leads, duration=duration).unionByName(
-        segment_matrices(spread, duration, n_leads)
+    return cut.select(
+        F.col("patient_id").alias("group"),
+        "label",
+        "seg_idx",
+        F.col("max_samples").cast("int").alias("n_samples"),
+        F.col("n_leads").cast("int").alias("n_leads"),
+        F.when(kind == "dataset", F.col("x")).alias("x"),
+        "fs",
+        "profile",
+        reason.alias("reason"),
+        kind.alias("kind"),
     )
 
 
@@ -109,30 +167,57 @@ def prepare(
 ) -> DataFrame:
     """Write the data set, its rejects and the profile below ``output``; return the report.
 
+    The signals are read once, into ``windows``, partitioned by ``kind``: the
+    data set is ``windows/kind=dataset``, the other tables are small ones drawn
+    from it. What headers and metadata tell is checked before any signal is read.
+
     With ``strict`` a patient without a recording or an empty data set is an
-    error. With ``keep_segments`` the segments of single leads are written too.
+    error. With ``keep_segments`` the segments of single leads are written too,
+    in a pass of their own.
     """
-    meta = label_metadata(read_metadata(spark, metadata))
-    matched = match_recordings(spark, recordings, labels=label_sets(meta))
-    # Many small files are read and decoded once; all that follows reads this table.
-    decode_recordings(matched).write.mode("overwrite").parquet(f"{output}/recordings")
-    decoded = spark.read.parquet(f"{output}/recordings")
-
-    recording_rejects(matched).write.mode("overwrite").parquet(f"{output}/recording_rejects")
-    missing_recordings(meta, decoded, strict=strict).write.mode("overwrite").parquet(
-        f"{output}/missing_recordings"
+
+    def write(df: DataFrame, name: str) -> None:
+        df.write.mode("overwrite").parquet(f"{output}/{name}")
+
+    usable, unusable = split_metadata(read_metadata(spark, metadata, corrupt=CORRUPT))
+    meta = label_metadata(usable)
+    write(unusable, "metadata_rejects")
+    write(cohort_summary(meta), "cohort")
+    headers = read_headers(spark, recordings).cache()
+    try:
+        found = headers.where(F.col("patient_id").isNotNull())
+        write(missing_recordings(meta, found, strict=strict), "missing_recordings")
+        write(found.select("patient_id", "folder", "record").join(meta, "patient_id", "left_anti"), "unlabelled_recordings")
+        write(completeness(found), "completeness")
+
+        matched = match_recordings(spark, recordings, labels=label_sets(meta), headers=headers)
+        write(recording_rejects(matched), "recording_rejects")
+        decoded = decode_recordings(matched)
+        windows = judged_windows(decoded, duration, shape)
+        windows.sortWithinPartitions("group", "seg_idx").write.mode("overwrite").partitionBy(
+            "kind"
+        ).parquet(f"{output}/windows")
+        if keep_segments:
+            segments = preprocess(lead_rows(decoded), duration).withColumn("label", F.explode("labels"))
+            write_segments(segments.drop("fs", "labels"), f"{output}/segments")
+    finally:
+        headers.unpersist()
+
+    table = spark.read.schema(windows.schema).parquet(f"{output}/windows")
+    rejected = table.where("kind = 'reject'")
+    write(rejected.select(F.col("group").alias("patient_id"), "label", "seg_idx", "reason"), "shape_rejects")
+    # One row per recording, from columns beside the matrices.
+    each = table.select("group", "fs", "profile").dropDuplicates(["group"])
+    profile = each.select(
+        F.col("group").alias("patient_id"),
+        *[f"profile.{c}" for c in ("n_samples", "n_leads")],
+        "fs",
+        *[f"profile.{c}" for c in ("n_segments", "n_missing", "leads")],
     )
-    leads = lead_rows(decoded)
-    recording_profile(leads, duration).write.mode("overwrite").parquet(f"{output}/profile")
-    unsegmentable(leads, duration).write.mode("overwrite").parquet(f"{output}/rate_rejects")
-    if keep_segments:
-        segments = preprocess(leads, duration).withColumn("label", F.explode("labels"))
-        write_segments(segments.drop("fs", "labels"), f"{output}/segments")
-
-    matrices = matrices_of_decoded(decoded, duration, shape[1])
-    write_dataset(dataset_rows(matrices, shape), f"{output}/dataset")
-    shape_rejects(matrices, shape).write.mode("overwrite").parquet(f"{output}/shape_rejects")
-    return dataset_report(read_dataset(spark, f"{output}/dataset"), shape, strict)
+    write(profile, "profile")
+    leads = each.select(F.col("group").alias("patient_id"), F.explode("profile.lead_idx").alias("lead_idx"), "fs")
+    write(unsegmentable(leads, duration), "rate_rejects")
+    return dataset_report(read_dataset(spark, f"{output}/windows/kind=dataset"), shape, strict)
 
 
 def main() -> None:

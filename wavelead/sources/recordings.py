@@ -93,11 +93,26 @@ def parse_headers(headers: DataFrame) -> DataFrame:
     )
 
 
+def reject_repeated(headers: DataFrame) -> DataFrame:
+    """Headers with a reason for all recordings of a patient who has more than one.
+
+    Which of them counts can't be told; only the small header table is counted.
+    """
+    usable = headers.where(F.col("reason").isNull())
+    repeated = usable.groupBy("patient_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    marked = headers.join(repeated, "patient_id", "left")
+    again = F.when(F.col("_n").isNotNull(), "patient has several recordings")
+    return marked.select(
+        *[c for c in headers.columns if c != "reason"], F.coalesce("reason", again).alias("reason")
+    )
+
+
 def match_signals(headers: DataFrame, signal_files: DataFrame) -> DataFrame:
     """One row per signal file of a recording, with ``content`` and ``reason``.
 
     ``signal_files`` has ``path``, ``length`` and ``content``.
     """
+    headers = reject_repeated(headers)
     usable = F.col("reason").isNull()
     names = F.array_distinct(F.transform("signals", lambda s: s["file"]))
     expected = (
@@ -203,31 +218,56 @@ def recording_rejects(matched: DataFrame) -> DataFrame:
     )
 
 
+def whole_recordings(decoded: DataFrame) -> DataFrame:
+    """One row per recording with all its leads, from one row per signal file.
+
+    A recording kept in one file passes without a shuffle. The files of the
+    others come together in one row: no more than the header names, as repeated
+    recordings have been rejected.
+    """
+    arrays = ["lead_idx", "lead", "signals"]
+    keys = [c for c in decoded.columns if c not in arrays]
+    spread = (
+        decoded.where(F.col("n_files") > 1)
+        .groupBy(*keys)
+        .agg(F.flatten(F.collect_list(F.arrays_zip(*arrays))).alias("_leads"))
+        .withColumn("_leads", F.array_sort("_leads"))
+        .select(*keys, *[F.col(f"_leads.{c}").alias(c) for c in arrays])
+    )
+    return decoded.where(F.col("n_files") == 1).select(*keys, *arrays).unionByName(spread)
+
+
+def read_headers(spark: SparkSession, path: str) -> DataFrame:
+    """The parsed headers anywhere below ``path``."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    return parse_headers(files.option("pathGlobFilter", "*.hea").load(path))
+
+
 def match_recordings(
     spark: SparkSession,
     path: str,
     signal_glob: str = "*.dat",
     labels: DataFrame | None = None,
+    headers: DataFrame | None = None,
 ) -> DataFrame:
     """Headers and signal files anywhere below ``path``, matched.
 
     ``labels`` has one row per ``patient_id`` with the array ``labels``. It is
     joined to the headers, which are small, so that the signals need no join
-    with the metadata later on.
+    with the metadata later on. ``headers`` are those of :func:`read_headers`,
+    if they have been read before.
 
     Spark leaves out files and folders whose name starts with ``.`` or ``_``,
     which covers what archives of other systems leave behind. Files of zero
     bytes are left out as well, so an empty header counts as a missing recording.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    headers = files.option("pathGlobFilter", "*.hea").load(path)
     signals = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", signal_glob)
         .load(path)
     )
-    parsed = parse_headers(headers)
+    parsed = read_headers(spark, path) if headers is None else headers
     if labels is not None:
         parsed = parsed.join(labels, "patient_id", "left")
     return match_signals(parsed, signals)
