@@ -358,6 +358,10 @@ FROM ({META})""",
     "decode_recordings": f"""SELECT vec_id AS patient_id, 8.0::DOUBLE AS fs,
   CAST(p % 4 AS INTEGER) AS lead_idx, ['I', 'II', 'V1', 'V2'][p % 4 + 1] AS lead,
   CAST(p // 4 AS INTEGER) AS i, {rounded("round(v * 1000) / 1000")} AS value
+FROM (SELECT vec_id, unnest(x) AS v, unnest(range(0, len(x))) AS p FROM ({VECTORS}))""",
+    "decode_chunks": f"""SELECT vec_id AS patient_id, 8.0::DOUBLE AS fs,
+  CAST(p % 4 AS INTEGER) AS lead_idx, ['I', 'II', 'V1', 'V2'][p % 4 + 1] AS lead,
+  CAST(p // 4 AS BIGINT) AS i, {rounded("round(v * 1000) / 1000")} AS value
 FROM (SELECT vec_id, unnest(x) AS v, unnest(range(0, len(x))) AS p FROM ({VECTORS}))""",
     "dataset_from_files": ctes(*denoising(FILE_LEADS), ("windows", FILE_WINDOWS))
     + "\n"

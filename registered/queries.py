@@ -71,6 +71,7 @@ from wavelead.operators.segment import segment_leads, segment_samples, unsegment
 from wavelead.plans.prepare import build_dataset, matrices_of_decoded, preprocess
 from wavelead.sources.metadata import read_metadata
 from wavelead.sources.recordings import (
+    decode_chunks,
     decode_recordings,
     lead_rows,
     match_signals,
@@ -327,6 +328,14 @@ def decoded_recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return values_of(decoded, ["patient_id", "fs", "lead_idx", "lead"], "signal")
 
 
+def decoded_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same samples decoded in chunks of five, in the long layout."""
+    headers, signals = record_files(spark, sf_dir)
+    chunks = decode_chunks(match_signals(parse_headers(headers), signals), chunk=5)
+    samples = arrays_to_samples(chunks, ["patient_id", "fs", "lead_idx", "lead"], start="start")
+    return samples.withColumn("value", rounded("value"))
+
+
 def dataset_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From the bytes of signal files to data set values, in windows of one second."""
     return _dataset_of_files(spark, sf_dir, *record_files(spark, sf_dir))
@@ -558,6 +567,7 @@ QUERIES: dict[str, Query] = {
     "dataset_report": report,
     "metadata_scan": metadata_scan,
     "decode_recordings": decoded_recordings,
+    "decode_chunks": decoded_chunks,
     "dataset_from_files": dataset_from_files,
     "dataset_with_copies": dataset_with_copies,
     "segment_table": segment_table,

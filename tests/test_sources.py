@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from wavelead.functions.wavelet import denoise_block
 from wavelead.plans.prepare import judged_windows, prepare
 from wavelead.sources.metadata import CORRUPT, read_metadata, split_metadata
+from wavelead.operators.denoising import denoise_samples
+from wavelead.operators.layout import arrays_to_samples
 from wavelead.sources.recordings import (
+    decode_chunks,
     decode_recordings,
     match_recordings,
     parse_headers,
@@ -235,3 +238,20 @@ def test_signals_are_cleaned_once(spark, tmp_path):
     plan = windows._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
     assert windows.where("kind = 'dataset'").count() == 2
+
+
+def test_long_recordings_in_chunks(spark, tmp_path):
+    """Decoded and denoised chunk by chunk, a lead comes out as if it were one row."""
+    rng = np.random.default_rng(3)
+    digital = rng.integers(-500, 500, size=(2600, 2)).cumsum(axis=0) // 40
+    digital[1700, 1] = -32768
+    write_record(tmp_path / "1", "1", digital.tolist(), [200, 100], [5, 0])
+    chunks = decode_chunks(match_recordings(spark, str(tmp_path)), chunk=1000)
+    assert sorted(len(r["signal"]) for r in chunks.collect()) == [600, 600, 1000, 1000, 1000, 1000]
+    samples = arrays_to_samples(chunks, start="start")
+    found = denoise_samples(samples, chunk=1024, halo=512).toPandas()
+    whole = {r["lead_idx"]: r["signal"] for r in read_recordings(spark, str(tmp_path)).collect()}
+    for lead, signal in whole.items():
+        part = found[found.lead_idx == lead].sort_values("i")
+        expected = denoise_block(np.array(signal)[None])[0]
+        assert np.allclose(part.value.to_numpy(), expected, atol=1e-9, equal_nan=True)

@@ -6,12 +6,15 @@ signal file into numbers runs in Python, through Arrow.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavelead.functions.columns import whole_div
+from wavelead.operators.layout import CHUNK
 
 # Fixed values of the header format: defaults for fields that are left out,
 # and the 16-bit value that stands for a missing sample.
@@ -200,6 +203,53 @@ def decode_recordings(matched: DataFrame) -> DataFrame:
     )
 
 
+def decode_chunks(matched: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Long recordings: rows of up to ``chunk`` samples of a lead, ``signal``, from sample ``start`` on.
+
+    No row holds a whole lead. ``arrays_to_samples`` turns the rows into the long
+    layout, whose denoiser and windows take leads of any length.
+    """
+    usable = F.col("reason").isNull() & F.col("length").isNotNull()
+    files = matched.where(usable).select(
+        "patient_id",
+        "fs",
+        F.col("offset").cast("long").alias("offset"),
+        F.col("n_samples").cast("long").alias("n_samples"),
+        "signals.lead_idx",
+        "signals.lead",
+        "signals.gain",
+        "signals.baseline",
+        "content",
+    )
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            *fields, contents = batch.columns
+            rows = zip(*(c.to_pylist() for c in fields), contents)
+            for patient, fs, offset, n, lead_idx, lead, gains, zeros, content in rows:
+                width = len(lead_idx)
+                digital = np.frombuffer(content.as_buffer(), "<i2", n * width, offset).reshape(n, width)
+                for start in range(0, n, chunk):
+                    part = digital[start : start + chunk]
+                    values = (part - np.array(zeros, dtype=float)) / np.array(gains)
+                    values = np.where(part == MISSING_SAMPLE, np.nan, values).T
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([patient] * width, pa.int64()),
+                            pa.array([fs] * width, pa.float64()),
+                            pa.array(lead_idx, pa.int32()),
+                            pa.array(lead, pa.string()),
+                            pa.array([start] * width, pa.int64()),
+                            pa.array(list(values), pa.list_(pa.float64())),
+                        ],
+                        names=["patient_id", "fs", "lead_idx", "lead", "start", "signal"],
+                    )
+
+    return files.mapInArrow(
+        decode, "patient_id long, fs double, lead_idx int, lead string, start long, signal array<double>"
+    )
+
+
 def lead_rows(decoded: DataFrame) -> DataFrame:
     """``lead_signal`` rows, one per lead, with the other columns passed on."""
     arrays = ["lead_idx", "lead", "signals"]
