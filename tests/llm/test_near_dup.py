@@ -2,10 +2,13 @@
 
 import random
 
+import numpy as np
 from cases import TEXTS, awkward, empty
 
+from pyspark.sql import functions as F
+
 from wavelead.llm.graph import components
-from wavelead.llm.near_dup import near_duplicates
+from wavelead.llm.near_dup import common_shingles, links, near_duplicates, signatures
 from wavelead.llm.queries import op4_near_dup
 
 SF = "/root/testdata/sf0.001"
@@ -74,6 +77,33 @@ def test_chains_of_copies(spark):
     check(rows, texts)
 
 
+def test_tiles_find_what_pivots_leave(spark):
+    """Many documents in one bucket, few of them linked: small tiles, no pivots."""
+    chance = random.Random(4)
+    base = [f"b{k}" for k in range(150)]
+    texts = {}
+    for k in range(70):
+        words = list(base)
+        for _ in range(chance.choice([1, 4, 6])):
+            words[chance.randrange(len(words))] = f"n{chance.random()}"
+        texts[k] = " ".join(words)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    signed = signatures(docs)
+    nodes = signed.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "u", "v", "sig")
+    component, _ = brute_force(texts)
+    assert 1 < len(set(component.values())) < 70
+    for rounds, tile in ((0, 16), (1, 16)):
+        found = {r["node"]: r["component"] for r in links(nodes, docs, rounds=rounds, tile=tile).collect()}
+        assert {k: found.get(k, k) for k in texts} == component
+
+
+def test_common_shingles():
+    chance = np.random.default_rng(3)
+    sets = [np.unique(chance.integers(0, 30, n)) for n in (0, 5, 20, 40, 9)]
+    counts = common_shingles(sets, np.array([0, 1]), np.array([2, 3, 4]))
+    assert counts.tolist() == [[len(np.intersect1d(sets[i], sets[j])) for j in (2, 3, 4)] for i in (0, 1)]
+
+
 def test_awkward_tables(spark):
     rows = near_duplicates(awkward(spark)).collect()
     assert len(rows) == len(TEXTS) + 2

@@ -12,11 +12,15 @@ drop out there.
 
 Links. Documents with equal sets are one class from the start. In every bucket
 of a table all members are compared with a pivot, then the classes found so far
-are joined, and buckets whose members are in one class are done. After
-``ROUNDS`` pivots, what is left are pairs from different classes in one bucket;
-all of them are compared. So no candidate is left out, and groups of copies cost
-as many comparisons as they have members. A comparison looks at the minhashes
-first (five standard deviations below the threshold), then counts on full sets.
+are joined, and buckets whose members are in one class are done; so groups of
+copies cost as many comparisons as they have members. Such a comparison looks at
+the minhashes first (five standard deviations below the threshold), then counts
+on full sets. After ``ROUNDS`` pivots the buckets that are left are joined into
+clusters, and their documents dealt into tiles of about ``TILE``. Two tiles at a
+time meet in a task, which counts the common shingles of all their pairs at once;
+tiles of a cluster's largest class don't meet each other. So no candidate is left
+out, no pair becomes a row unless it is a link, and no task has more than two
+tiles.
 
 Words are stretches without ASCII white space, A-Z in lower case. A document of
 fewer than five words is its whole sequence; without words it has no set and no
@@ -30,6 +34,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -45,7 +50,8 @@ THRESHOLD = 85
 # threshold is missed with a chance of 5e-7.
 HALVES = 16
 WIDTH = 3
-ROUNDS = 3
+ROUNDS = 2
+TILE = 256
 _HASHES = 2 * HALVES * WIDTH
 
 
@@ -189,7 +195,89 @@ def confirm(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: int)
     return counted.where(100 * F.col("i") >= threshold * (F.col("n") - F.col("i"))).select("a", "b")
 
 
-def links(nodes: DataFrame, docs: DataFrame, threshold: int = THRESHOLD, rounds: int = ROUNDS) -> DataFrame:
+def common_shingles(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets ``a`` with the sets ``b``, by products of 0/1 matrices."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    # A shingle that one set alone has is common to no pair.
+    shared = count > 1
+    place = np.cumsum(shared) - 1
+    kept = shared[column]
+    owner, column = owner[kept], place[column[kept]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    total = np.zeros((len(a), len(b)), np.float32)
+    for at in range(0, int(shared.sum()), 4096):
+        first, last = np.searchsorted(column, [at, at + 4096])
+        table = np.zeros((len(sets), 4096), np.float32)
+        table[owner[first:last], column[first:last] - at] = 1
+        total += table[a] @ table[b].T
+    return total
+
+
+def compare_tiles(rows: DataFrame, threshold: int) -> DataFrame:
+    """Links between classes among (cluster, low, high, tile, node, class, shingles), one per two classes."""
+
+    def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        tile, node, class_ = (rows[c].to_numpy(np.int64) for c in ("tile", "node", "class"))
+        a, b = np.flatnonzero(tile == key[1]), np.flatnonzero(tile == key[2])
+        if not len(a) or not len(b):
+            return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
+        sets = rows["shingles"].tolist()
+        sizes = np.array([len(x) for x in sets])
+        common = common_shingles(sets, a, b)
+        union = sizes[a][:, None] + sizes[b][None, :] - common
+        linked = (100 * common >= threshold * union) & (class_[a][:, None] != class_[b][None, :])
+        i, j = np.nonzero(linked)
+        i, j = a[i], b[j]
+        ends = np.sort(np.stack([class_[i], class_[j]], axis=1), axis=1)
+        _, one = np.unique(ends, axis=0, return_index=True)
+        return pd.DataFrame({"a": node[i[one]], "b": node[j[one]]})
+
+    return rows.groupBy("cluster", "low", "high").applyInPandas(compare, "a long, b long")
+
+
+def tiles(rest: DataFrame, tile: int = TILE) -> DataFrame:
+    """cluster, low, high, tile, node, class: which tiles of a cluster have to meet.
+
+    ``rest`` has the members (key, node, class) of the buckets to be looked
+    through. The documents of a cluster's largest class have tiles of their own,
+    after those of all others; a tile of the others meets every tile.
+    """
+    pivots = rest.groupBy("key").agg(F.min("node").alias("pivot"))
+    edges = rest.join(pivots, "key").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    nodes = rest.select("node", "class").distinct()
+    placed = materialize(
+        components(edges).select("node", F.col("component").alias("cluster")).join(nodes, "node"), "clusters"
+    )
+    sizes = placed.groupBy("cluster", "class").agg(F.count(F.lit(1)).alias("n"))
+    of_cluster = sizes.groupBy("cluster").agg(
+        F.max(F.struct("n", "class")).alias("most"), F.sum("n").alias("n")
+    )
+    others, most = F.col("n") - F.col("most.n"), F.col("most.n")
+    counts = of_cluster.select(
+        "cluster",
+        F.col("most.class").alias("main"),
+        F.greatest(F.ceil(others / tile), F.lit(1)).cast("int").alias("n_others"),
+        F.ceil(most / tile).cast("int").alias("n_main"),
+    )
+    spread = F.xxhash64("node", F.lit(7))
+    is_main = F.col("class") == F.col("main")
+    own = F.when(is_main, F.col("n_others") + F.pmod(spread, "n_main")).otherwise(F.pmod(spread, "n_others"))
+    last = F.when(is_main, F.col("n_others") - 1).otherwise(F.col("n_others") + F.col("n_main") - 1)
+    return (
+        placed.join(counts, "cluster")
+        .select("cluster", "node", "class", own.cast("int").alias("tile"), last.alias("last"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), "last")))
+        .select(
+            "cluster", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "node", "class"
+        )
+    )
+
+
+def links(
+    nodes: DataFrame, docs: DataFrame, threshold: int = THRESHOLD, rounds: int = ROUNDS, tile: int = TILE
+) -> DataFrame:
     """Classes of ``nodes`` (node, n, u, v, sig) that have a link: node, component."""
     members = materialize(candidate_buckets(nodes), "buckets")
     wanted = members.select("node").distinct()
@@ -197,16 +285,8 @@ def links(nodes: DataFrame, docs: DataFrame, threshold: int = THRESHOLD, rounds:
     sets = materialize(shingle_sets(texts.join(wanted, "node", "left_semi")).dropDuplicates(["node"]), "sets")
     signed = materialize(nodes.join(wanted, "node", "left_semi").select("node", "sig"), "signed")
 
-    found = None
-    classes = None
+    found, rows = None, members.withColumn("class", F.col("node"))
     for turn in range(rounds + 1):
-        if classes is None:
-            rows = members.withColumn("class", F.col("node"))
-        else:
-            rows = (
-                members.join(classes.withColumnRenamed("component", "class"), "node", "left")
-                .withColumn("class", F.coalesce("class", "node"))
-            )
         mixed = rows.groupBy("key").agg(
             F.min("class").alias("low"),
             F.max("class").alias("high"),
@@ -219,23 +299,23 @@ def links(nodes: DataFrame, docs: DataFrame, threshold: int = THRESHOLD, rounds:
                 F.col("pivot.n").alias("other_n"),
                 F.col("pivot.class").alias("other_class"),
             )
-            pairs = rows.join(other, "key").where(F.col("class") != F.col("other_class"))
+            pairs = (
+                rows.join(other, "key")
+                .where(F.col("class") != F.col("other_class"))
+                .where(_ratio_allows(F.col("n"), F.col("other_n"), threshold))
+                .select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
+                .distinct()
+            )
+            new = materialize(confirm(pairs, signed, sets, threshold), "links")
         else:
             rest = materialize(rows.join(mixed.select("key"), "key", "left_semi"), "rest")
-            other = rest.select(
-                "key", F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("class").alias("other_class")
-            )
-            pairs = rest.join(other, "key").where(F.col("class") < F.col("other_class"))
-        pairs = (
-            pairs.where(_ratio_allows(F.col("n"), F.col("other_n"), threshold))
-            .select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
-            .distinct()
-        )
-        new = materialize(confirm(pairs, signed, sets, threshold), "links")
-        if turn == rounds and new.isEmpty():
-            break
+            met = tiles(rest, tile).join(sets, "node")
+            new = materialize(compare_tiles(met, threshold), "links")
         found = new if found is None else found.unionByName(new)
         classes = components(found)
+        rows = members.join(classes.withColumnRenamed("component", "class"), "node", "left").withColumn(
+            "class", F.coalesce("class", "node")
+        )
     return classes
 
 
