@@ -20,8 +20,9 @@ from __future__ import annotations
 
 import codecs
 import hashlib
+from array import array
 from collections.abc import Iterator
-from itertools import accumulate, chain
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -141,7 +142,7 @@ class PieceModel:
         self.numbers = [str(k) for k in range(len(pieces))]
         codecs.register_error("each-byte", lambda e: ("\ufffd" * (e.end - e.start), e.end))
         self.limit = limit
-        self.known: dict[str, tuple] = {}
+        self.known: dict[str, tuple[bytes, bytes, int]] = {}
 
     @staticmethod
     def _surface(piece: str, kind: int, trainer: dict) -> bytes:
@@ -228,10 +229,9 @@ class PieceModel:
         for stretch, ids in zip(stretches, encoded):
             if self.special.isdisjoint(ids):
                 ends = list(accumulate(map(self.widths.__getitem__, ids)))
-                self.known[stretch] = (tuple(ids), ends, ends[-1] if ends else 0)
             else:
-                raw = stretch.encode()
-                self.known[stretch] = (tuple(ids), self._ends(raw, ids), len(raw))
+                ends = self._ends(stretch.encode(), ids)
+            self.known[stretch] = (array("i", ids).tobytes(), array("i", ends).tobytes(), ends[-1] if ends else 0)
 
     def _ends(self, raw: bytes, ids: list[int]) -> list[int]:
         """Ends of the pieces of a stretch that has unknown characters, as bytes or as one piece each."""
@@ -256,12 +256,12 @@ class PieceModel:
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Of every text the ids, and the first byte and the end of the source behind each piece."""
         prepared = []
-        wanted: dict[str, None] = {}
+        wanted: set[str] = set()
         for text in texts:
             normal, origin = self.normalize(text)
             stretches = self._stretches(normal.decode())
             prepared.append((stretches, origin))
-            wanted.update(dict.fromkeys(s for s in stretches if s not in self.known))
+            wanted |= set(stretches).difference(self.known)
         held = {}
         # Look the new ones up together; what is needed stays at hand if the memory is emptied.
         if wanted and len(self.known) + len(wanted) > self.limit:
@@ -279,6 +279,8 @@ class PieceModel:
             return [normal]
         blank = self.blank.decode()
         parts = normal.split(blank)
+        if "" not in parts[1:]:
+            return parts[: bool(parts[0])] + [blank + part for part in parts[1:]]
         out, lead = [], ""
         for k, part in enumerate(parts):
             if part or k == len(parts) - 1:
@@ -293,11 +295,10 @@ class PieceModel:
         if not stretches:
             nothing = np.zeros(0, np.int64)
             return nothing, nothing, nothing
-        cut = [self.known[s] for s in stretches]
-        ids = np.fromiter(chain.from_iterable(c[0] for c in cut), np.int64)
-        sizes = np.array([c[2] for c in cut])
-        counts = np.array([len(c[0]) for c in cut])
-        ends = np.fromiter(chain.from_iterable(c[1] for c in cut), np.int64) + np.repeat(np.cumsum(sizes) - sizes, counts)
+        ids_of, ends_of, sizes_of = zip(*map(self.known.__getitem__, stretches))
+        sizes, counts = np.array(sizes_of), np.array(list(map(len, ids_of))) // 4
+        ids = np.frombuffer(b"".join(ids_of), np.int32).astype(np.int64)
+        ends = np.frombuffer(b"".join(ends_of), np.int32) + np.repeat(np.cumsum(sizes) - sizes, counts)
         starts = np.concatenate([[0], ends[:-1]])
         # The bytes of one unknown character end at the same place; so do they begin.
         same = np.flatnonzero(starts == ends)
