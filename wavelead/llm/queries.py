@@ -8,8 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wavelead.llm import bpe_tree
+from wavelead.llm.fim import fill_in_middle, restore
 from wavelead.llm.hnsw import nearest_neighbours
 from wavelead.llm.host_rules import judge
+from wavelead.llm.lemp import ranked_search
 from wavelead.llm.near_dup import near_duplicates
 from wavelead.llm.packing import pack_documents
 from wavelead.llm.passages import passages
@@ -77,6 +80,32 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary(), end=2)
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+def op12_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = bpe_tree.encode_documents(table(spark, sf_dir, "documents"), vocabulary())
+    return bpe_tree.decode_documents(encoded, vocabulary()).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_token_files": op2_token_files,
@@ -88,4 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_passages": op8_passages,
     "op9_quality": op9_quality,
     "op10_packing": op10_packing,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_segment_tree_bpe": op12_segment_tree_bpe,
+    "op13_ranked_search": op13_ranked_search,
 }
