@@ -243,6 +243,17 @@ FILE_LEADS = f"""SELECT vec_id, label, CAST(p % 4 AS INTEGER) AS lead_idx,
     FROM (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings))
   GROUP BY vec_id, label, p % 4"""
 
+# 768 vectors one after another as the interleaved samples of a recording of twelve leads.
+LONG_VALUES = """SELECT vec_id // 768 AS patient_id, (vec_id % 768) * 64 + p AS place, v
+  FROM (SELECT vec_id, unnest(x) AS v, unnest(range(0, len(x))) AS p
+    FROM (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings))"""
+LONG_SAMPLES = f"""SELECT patient_id, CAST(place % 12 AS INTEGER) AS lead_idx, place // 12 AS i,
+  round(v * 1000) / 1000 AS value FROM ({LONG_VALUES})
+  JOIN (SELECT patient_id, count(*) // 12 AS n FROM ({LONG_VALUES}) GROUP BY patient_id) USING (patient_id)
+  WHERE place // 12 < n"""
+LONG_LEADS = f"""SELECT patient_id, lead_idx, list(value ORDER BY i) AS x
+  FROM ({LONG_SAMPLES}) GROUP BY patient_id, lead_idx"""
+
 FILE_WINDOWS = """SELECT vec_id AS "group", CASE WHEN label > 0 THEN 1 ELSE 0 END AS label,
   CAST(k AS INTEGER) AS seg_idx, lead_idx, y[8 * k + 1 : 8 * k + 8]::FLOAT[] AS s
   FROM (SELECT *, unnest(range(0, len(y) // 8)) AS k FROM clean)"""
@@ -363,6 +374,19 @@ FROM (SELECT vec_id, unnest(x) AS v, unnest(range(0, len(x))) AS p FROM ({VECTOR
   CAST(p % 4 AS INTEGER) AS lead_idx, ['I', 'II', 'V1', 'V2'][p % 4 + 1] AS lead,
   CAST(p // 4 AS BIGINT) AS i, {rounded("round(v * 1000) / 1000")} AS value
 FROM (SELECT vec_id, unnest(x) AS v, unnest(range(0, len(x))) AS p FROM ({VECTORS}))""",
+    "header_fields": """SELECT vec_id AS patient_id,
+  CASE WHEN vec_id % 11 <> 3 THEN 8.0::DOUBLE END AS fs,
+  CASE WHEN vec_id % 11 <> 4 THEN len(embedding) // 4 END AS n_samples,
+  CASE vec_id % 11 WHEN 1 THEN 'gain not understood' WHEN 2 THEN 'baseline not understood'
+    WHEN 3 THEN 'sampling rate not understood' WHEN 4 THEN 'number of samples not understood'
+    WHEN 5 THEN 'offset not understood' WHEN 6 THEN 'zero not understood'
+    WHEN 7 THEN 'gain not understood' END AS reason
+FROM embeddings""",
+    "decode_stretches": f"""SELECT patient_id, lead_idx, 'lead_' || lead_idx AS lead, CAST(i AS BIGINT) AS i,
+  {rounded("value")} AS value FROM ({LONG_SAMPLES})""",
+    "denoise_stretches": ctes(*denoising(LONG_LEADS))
+    + "\n"
+    + elements("clean", "patient_id, lead_idx", "y", kind="BIGINT"),
     "dataset_from_files": ctes(*denoising(FILE_LEADS), ("windows", FILE_WINDOWS))
     + "\n"
     + elements("windows", '"group", label, seg_idx, lead_idx', "s", "pos"),

@@ -23,8 +23,10 @@ from registered.standins import (
     event_samples,
     labelled_leads,
     leads,
+    long_record_files,
     long_samples,
     metadata,
+    odd_headers,
     record_files,
     segment_files,
     table,
@@ -42,7 +44,7 @@ from wavelead.functions.columns import (
 )
 from wavelead.functions.wavelet import denoise, wavedec, waverec
 from wavelead.operators.dataset import collate, dataset_report, dataset_rows, shape_rejects
-from wavelead.operators.denoising import clean_leads, denoise_samples
+from wavelead.operators.denoising import clean_leads, denoise_chunks, denoise_samples
 from wavelead.operators.evaluation import confusion, late_fusion, misses
 from wavelead.operators.features import FEATURES, lead_features, record_features
 from wavelead.operators.folds import assign_folds, group_folds
@@ -77,6 +79,7 @@ from wavelead.sources.recordings import (
     match_signals,
     parse_headers,
 )
+from wavelead.sources.signals import locate_recordings, read_stretches
 from wavelead.sources.tables import read_dataset, read_segments, write_dataset, write_segments
 from wavelead.storage import new_path
 
@@ -336,6 +339,27 @@ def decoded_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return samples.withColumn("value", rounded("value"))
 
 
+def header_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rate, length and reason of headers of which some cannot be read."""
+    parsed = parse_headers(odd_headers(spark, sf_dir))
+    return parsed.select("patient_id", "fs", "n_samples", "reason")
+
+
+def decode_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long signal files read in stretches by the tasks, in the long layout."""
+    located = locate_recordings(spark, long_record_files(spark, sf_dir))
+    chunks = read_stretches(located, chunk=LONG_CHUNK)
+    samples = arrays_to_samples(chunks, ["patient_id", "lead_idx", "lead"], start="start")
+    return samples.withColumn("value", rounded("value"))
+
+
+def denoise_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same files denoised from their stretches, without a row per sample."""
+    chunks = read_stretches(locate_recordings(spark, long_record_files(spark, sf_dir)), chunk=LONG_CHUNK)
+    cleaned = denoise_chunks(chunks, LEAD, chunk=LONG_CHUNK, halo=HALO)
+    return arrays_to_samples(cleaned, LEAD, start="start").withColumn("value", rounded("value"))
+
+
 def dataset_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From the bytes of signal files to data set values, in windows of one second."""
     return _dataset_of_files(spark, sf_dir, *record_files(spark, sf_dir))
@@ -568,6 +592,9 @@ QUERIES: dict[str, Query] = {
     "metadata_scan": metadata_scan,
     "decode_recordings": decoded_recordings,
     "decode_chunks": decoded_chunks,
+    "header_fields": header_fields,
+    "decode_stretches": decode_stretches,
+    "denoise_stretches": denoise_stretches,
     "dataset_from_files": dataset_from_files,
     "dataset_with_copies": dataset_with_copies,
     "segment_table": segment_table,

@@ -6,12 +6,17 @@ of twelve leads, the events of a user form a recording of one lead.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavelead.functions.columns import whole_div
 from wavelead.operators.layout import index_samples
 from wavelead.operators.records import label_metadata
+from wavelead.sources.signals import file_system
+from wavelead.storage import new_path
 
 N_LEADS = 12
 RATE = 8.0
@@ -91,13 +96,6 @@ def segment_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def record_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Header files and signal files holding every vector as a record of four leads."""
-    digital = F.transform("signal", lambda v: (F.round(v * 1000) + 50).cast("int"))
-    word = F.transform(
-        digital,
-        lambda d: F.format_string(
-            "%02x%02x", F.pmod(d, F.lit(256)), F.floor(F.pmod(d, F.lit(65536)) / 256)
-        ),
-    )
     stem = F.concat(F.lit("files/"), "vec_id", F.lit("/"), "vec_id")
     files = vectors(spark, sf_dir)
     line = F.concat("vec_id", F.lit(".dat 16 1000(50)/mV 16 0 0 0 0 "))
@@ -112,6 +110,78 @@ def record_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     )
     signals = files.select(
         F.concat(stem, F.lit(".dat")).alias("path"),
-        F.unhex(F.array_join(word, "")).alias("content"),
+        F.unhex(F.array_join(_words(F.col("signal")), "")).alias("content"),
     ).withColumn("length", F.length("content").cast("long"))
     return headers, signals
+
+
+def _words(signal: Column) -> Column:
+    """Values as little-endian 16-bit words in hexadecimal, at a gain of 1000 and a baseline of 50."""
+    return F.transform(
+        F.transform(signal, lambda v: (F.round(v * 1000) + 50).cast("int")),
+        lambda d: F.format_string(
+            "%02x%02x", F.pmod(d, F.lit(256)), F.floor(F.pmod(d, F.lit(65536)) / 256)
+        ),
+    )
+
+
+def odd_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The headers of ``record_files``, of which some have a field that cannot be read."""
+    headers, _ = record_files(spark, sf_dir)
+    text = F.decode("content", "UTF-8")
+    rest = F.regexp_extract("path", r"(\d+)\.hea$", 1).cast("long") % 11
+
+    def changed(old: str, new: str) -> Column:
+        return F.regexp_replace(text, old, new)
+
+    odd = (
+        F.when(rest == 1, changed(r"1000\(50\)", "1-000(50)"))
+        .when(rest == 2, changed(r"1000\(50\)", "1000(5x)"))
+        .when(rest == 3, changed(r" 4 8 ", " 4 8.0.0 "))
+        .when(rest == 4, changed(r" 4 8 (\d)\d*", " 4 8 $1e1"))
+        .when(rest == 5, changed(r"\.dat 16 ", ".dat 16+99999999999 "))
+        .when(rest == 6, changed(r"1000\(50\)/mV 16 0", "1000/mV 16 99999999999"))
+        .when(rest == 7, changed(r"1000\(50\)", "high(50)"))
+        .otherwise(text)
+    )
+    return headers.withColumn("content", F.encode(odd, "UTF-8"))
+
+
+# Vectors in a long recording; their values one after another are its interleaved samples.
+LONG_VECTORS = 768
+
+
+def long_record_files(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of headers and signal files that hold many vectors each; the path."""
+    long = (
+        vectors(spark, sf_dir)
+        .groupBy(whole_div(F.col("vec_id"), LONG_VECTORS).alias("patient"))
+        .agg(F.sort_array(F.collect_list(F.struct("vec_id", _words(F.col("signal")).alias("words")))).alias("v"))
+        .select("patient", F.flatten("v.words").alias("words"))
+    )
+    lines = [
+        F.concat("patient", F.lit(f" {N_LEADS} 8 "), whole_div(F.size("words"), N_LEADS)),
+        *[F.concat("patient", F.lit(f".dat 16 1000(50)/mV 16 0 0 0 0 lead_{j}")) for j in range(N_LEADS)],
+    ]
+    files = long.select(
+        F.explode(
+            F.array(
+                F.struct(F.lit("hea").alias("kind"), F.encode(F.concat_ws("\n", *lines), "UTF-8").alias("content")),
+                F.struct(F.lit("dat").alias("kind"), F.unhex(F.array_join("words", "")).alias("content")),
+            )
+        ).alias("f"),
+        "patient",
+    ).select(F.concat_ws(".", "patient", "f.kind").alias("name"), "f.content")
+    folder = new_path(spark, "recordings")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                system, place = file_system(f"{folder}/{name}")
+                system.create_dir(place.rpartition("/")[0])
+                with system.open_output_stream(place) as file:
+                    file.write(content)
+            yield batch.select(["name"])
+
+    files.mapInArrow(write, "name string").count()
+    return folder

@@ -277,6 +277,16 @@ def finest_detail(signal: Column) -> Column:
     return run(signal)
 
 
+def from_bits(bits: Column) -> Column:
+    """The double with the given bit pattern, a LONG."""
+
+    @F.arrow_udf("double")
+    def run(column: pa.Array) -> pa.Array:
+        return pa.array(column.fill_null(0).to_numpy(zero_copy_only=False).view(np.float64))
+
+    return run(bits)
+
+
 def wavedec(signal: Column, wavelet: str = WAVELET, level: int = LEVEL) -> Column:
     """Bands of every lead, ``[approximation, coarsest detail, ..., finest detail]``."""
     check_wavelet(wavelet, level)

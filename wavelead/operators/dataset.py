@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 # Samples and leads of a valid segment.
@@ -97,48 +97,95 @@ def shape_rejects(collated: DataFrame, shape: tuple[int, int] = SHAPE) -> DataFr
     return collated.where(reason.isNotNull()).select(*SEGMENT, reason.alias("reason"))
 
 
-def dataset_report(
-    dataset: DataFrame, shape: tuple[int, int] = SHAPE, strict: bool = False
-) -> DataFrame:
-    """One row about the whole data set; with ``strict`` an empty or ill-shaped one is an error."""
+REPORT = (
+    "n_rows long, n_labels long, n_group_rows long, n_groups long, n_segments long, n_positive long, "
+    "n_negative long, min_samples int, max_samples int, min_leads int, max_leads int"
+)
+
+
+def _shape_metrics(condition: str = "true") -> list[Column]:
+    """What a report says about the rows for which ``condition`` holds, as aggregates."""
+    only = F.expr(condition)
     inner = F.transform("x", lambda lead: F.size(lead))
-    report = (
-        dataset.select(
-            "group",
-            "label",
-            "seg_idx",
-            F.size("x").alias("leads"),
-            F.array_min(inner).alias("shortest"),
-            F.array_max(inner).alias("longest"),
-        )
-        .agg(
-            F.count(F.lit(1)).alias("n_rows"),
-            F.count("label").alias("n_labels"),
-            F.count("group").alias("n_group_rows"),
-            F.count_distinct("group").alias("n_groups"),
-            F.count_distinct(F.struct("group", "label", "seg_idx")).alias("n_segments"),
-            F.count_if(F.col("label") == 1).alias("n_positive"),
-            F.count_if(F.col("label") == 0).alias("n_negative"),
-            F.min("shortest").alias("min_samples"),
-            F.max("longest").alias("max_samples"),
-            F.min("leads").alias("min_leads"),
-            F.max("leads").alias("max_leads"),
-        )
-        .withColumn(
-            "ok",
-            (F.col("n_rows") > 0)
-            & (F.col("n_labels") == F.col("n_rows"))
-            & (F.col("n_group_rows") == F.col("n_rows"))
-            # No segment twice.
-            & (F.col("n_segments") == F.col("n_rows"))
-            & (F.col("min_samples") == shape[0])
-            & (F.col("max_samples") == shape[0])
-            & (F.col("min_leads") == shape[1])
-            & (F.col("max_leads") == shape[1]),
-        )
+    return [
+        F.count_if(only).alias("n_rows"),
+        F.count(F.when(only, F.col("label"))).alias("n_labels"),
+        F.count(F.when(only, F.col("group"))).alias("n_group_rows"),
+        F.count_if(only & (F.col("label") == 1)).alias("n_positive"),
+        F.count_if(only & (F.col("label") == 0)).alias("n_negative"),
+        F.min(F.when(only, F.array_min(inner))).alias("min_samples"),
+        F.max(F.when(only, F.array_max(inner))).alias("max_samples"),
+        F.min(F.when(only, F.size("x"))).alias("min_leads"),
+        F.max(F.when(only, F.size("x"))).alias("max_leads"),
+    ]
+
+
+def _over_groups(segments: DataFrame) -> DataFrame:
+    """Totals from one row per distinct segment; groups are counted on the way."""
+    names = [c for c in segments.columns if c.startswith(("n_", "min_", "max_"))]
+
+    def merged() -> list[Column]:
+        how = {"n": F.sum, "min": F.min, "max": F.max}
+        return [how[c.split("_")[0]](c).alias(c) for c in names]
+
+    each = segments.groupBy("group").agg(F.count(F.lit(1)).alias("segments"), *merged())
+    return each.agg(
+        F.count("group").alias("n_groups"),
+        F.coalesce(F.sum("segments"), F.lit(0)).alias("n_segments"),
+        *[F.coalesce(c, F.lit(0)).alias(n) if n.startswith("n_") else c for c, n in zip(merged(), names)],
+    )
+
+
+def _judged(report: DataFrame, shape: tuple[int, int], strict: bool) -> DataFrame:
+    report = report.select(*[field.split()[0] for field in REPORT.split(", ")]).withColumn(
+        "ok",
+        (F.col("n_rows") > 0)
+        & (F.col("n_labels") == F.col("n_rows"))
+        & (F.col("n_group_rows") == F.col("n_rows"))
+        # No segment twice.
+        & (F.col("n_segments") == F.col("n_rows"))
+        & (F.col("min_samples") == shape[0])
+        & (F.col("max_samples") == shape[0])
+        & (F.col("min_leads") == shape[1])
+        & (F.col("max_leads") == shape[1]),
     )
     if strict:
         row = report.first()
         if not row["ok"]:
             raise ValueError(f"data set violates its shape {shape}: {row.asDict()}")
     return report
+
+
+SEGMENT_KEY = ["group", "label", "seg_idx"]
+
+
+def dataset_report(
+    dataset: DataFrame, shape: tuple[int, int] = SHAPE, strict: bool = False
+) -> DataFrame:
+    """One row about the whole data set; with ``strict`` an empty or ill-shaped one is an error.
+
+    One pass: rows are summed up by segment and group, which counts the distinct ones.
+    """
+    return _judged(_over_groups(dataset.groupBy(*SEGMENT_KEY).agg(*_shape_metrics())), shape, strict)
+
+
+class Observed:
+    """Counts and shapes of a data set, taken while it is written.
+
+    ``watch`` returns the rows to be written, of which those count for which
+    ``condition`` holds. After the write ``report`` needs no second look at the
+    matrices, only at the key columns of what was written.
+    """
+
+    def __init__(self, condition: str = "true"):
+        self.observation, self.condition = Observation("data set"), condition
+
+    def watch(self, rows: DataFrame) -> DataFrame:
+        return rows.observe(self.observation, *_shape_metrics(self.condition))
+
+    def report(self, written: DataFrame, shape: tuple[int, int] = SHAPE, strict: bool = False) -> DataFrame:
+        """As :func:`dataset_report`, for the table that the watched rows were written to."""
+        keys = _over_groups(written.select(*SEGMENT_KEY).distinct()).first()
+        seen = {**self.observation.get, **keys.asDict()}
+        row = tuple(seen[field.split()[0]] for field in REPORT.split(", "))
+        return _judged(written.sparkSession.createDataFrame([row], REPORT), shape, strict)

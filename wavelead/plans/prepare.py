@@ -18,8 +18,8 @@ from wavelead.functions.columns import count_windows, window_size
 from wavelead.functions.wavelet import denoise, denoise_all
 from wavelead.operators.dataset import (
     SHAPE,
+    Observed,
     collect_recordings,
-    dataset_report,
     dataset_rows,
     shape_problem,
 )
@@ -33,15 +33,9 @@ from wavelead.operators.records import (
 )
 from wavelead.operators.segment import segment_leads, segment_recordings, unsegmentable
 from wavelead.sources.metadata import CORRUPT, read_metadata, split_metadata
-from wavelead.sources.recordings import (
-    decode_recordings,
-    lead_rows,
-    match_recordings,
-    read_headers,
-    recording_rejects,
-    whole_recordings,
-)
-from wavelead.sources.tables import read_dataset, write_segments
+from wavelead.sources.recordings import lead_rows, read_headers, recording_rejects, whole_recordings
+from wavelead.sources.signals import Reader, locate_recordings, read_bytes, read_whole
+from wavelead.sources.tables import write_segments
 
 
 # Segments are floats, so the last cleaning step may as well give floats.
@@ -164,12 +158,14 @@ def prepare(
     shape: tuple[int, int] = SHAPE,
     strict: bool = True,
     keep_segments: bool = False,
+    read: Reader = read_bytes,
 ) -> DataFrame:
     """Write the data set, its rejects and the profile below ``output``; return the report.
 
-    The signals are read once, into ``windows``, partitioned by ``kind``: the
-    data set is ``windows/kind=dataset``, the other tables are small ones drawn
-    from it. What headers and metadata tell is checked before any signal is read.
+    The signals are read once, where their headers point, into ``windows``,
+    partitioned by ``kind``: the data set is ``windows/kind=dataset``, the other
+    tables are small ones drawn from it. What headers and metadata tell is
+    checked before any signal is read. ``read`` opens the signal files.
 
     With ``strict`` a patient without a recording or an empty data set is an
     error. With ``keep_segments`` the segments of single leads are written too,
@@ -184,17 +180,21 @@ def prepare(
     write(unusable, "metadata_rejects")
     write(cohort_summary(meta), "cohort")
     headers = read_headers(spark, recordings).cache()
+    located = None
     try:
         found = headers.where(F.col("patient_id").isNotNull())
         write(missing_recordings(meta, found, strict=strict), "missing_recordings")
         write(found.select("patient_id", "folder", "record").join(meta, "patient_id", "left_anti"), "unlabelled_recordings")
         write(completeness(found), "completeness")
 
-        matched = match_recordings(spark, recordings, labels=label_sets(meta), headers=headers)
-        write(recording_rejects(matched), "recording_rejects")
-        decoded = decode_recordings(matched)
+        located = locate_recordings(spark, recordings, labels=label_sets(meta), headers=headers).cache()
+        write(recording_rejects(located), "recording_rejects")
+        decoded = read_whole(located, read)
         windows = judged_windows(decoded, duration, shape)
-        windows.sortWithinPartitions("group", "seg_idx").write.mode("overwrite").partitionBy(
+        # The order that the write by kind asks for, so that the matrices are sorted once.
+        watched = Observed("kind = 'dataset'")
+        ordered = watched.watch(windows).sortWithinPartitions("kind", "group", "seg_idx")
+        ordered.write.mode("overwrite").partitionBy(
             "kind"
         ).parquet(f"{output}/windows")
         if keep_segments:
@@ -202,6 +202,8 @@ def prepare(
             write_segments(segments.drop("fs", "labels"), f"{output}/segments")
     finally:
         headers.unpersist()
+        if located is not None:
+            located.unpersist()
 
     table = spark.read.schema(windows.schema).parquet(f"{output}/windows")
     rejected = table.where("kind = 'reject'")
@@ -217,7 +219,7 @@ def prepare(
     write(profile, "profile")
     leads = each.select(F.col("group").alias("patient_id"), F.explode("profile.lead_idx").alias("lead_idx"), "fs")
     write(unsegmentable(leads, duration), "rate_rejects")
-    return dataset_report(read_dataset(spark, f"{output}/windows/kind=dataset"), shape, strict)
+    return watched.report(table.where("kind = 'dataset'"), shape, strict)
 
 
 def main() -> None:

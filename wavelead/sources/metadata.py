@@ -49,12 +49,25 @@ def read_metadata(
 
 
 def _headers(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
-    """The files below ``path`` by the columns that their first line names."""
-    # One short line per file; their content is not read here.
-    files = spark.read.format("binaryFile").load(path).select("path").orderBy("path").collect()
+    """The files below ``path`` by the columns that their first line names.
+
+    One job gathers the first lines of all files; after that there is one look at
+    a file for each distinct line. Files without a line have no columns and no rows.
+    """
+    lines = (
+        spark.read.text(path)
+        # A file's first lines are in its first block, and lines of a block are read in order.
+        .where((F.col("_metadata.file_block_start") == 0) & (F.trim("value") != ""))
+        .select("value", "_metadata.file_path", F.monotonically_increasing_id().alias("at"))
+    )
+    first = lines.groupBy("file_path").agg(F.min_by("value", "at").alias("line"))
+    # Metadata columns spell a path as a URI.
+    name = F.url_decode(F.replace("file_path", F.lit("+"), F.lit("%2B")))
+    groups = first.groupBy("line").agg(F.sort_array(F.collect_list(name)).alias("files"))
     found = defaultdict(list)
-    for row in files:
-        found[tuple(spark.read.option("header", True).csv(row["path"]).columns)].append(row["path"])
+    for row in groups.collect():  # a row per distinct header
+        columns = spark.read.option("header", True).csv(row["files"][0]).columns
+        found[tuple(columns)] += row["files"]
     return found
 
 

@@ -23,7 +23,9 @@ DEFAULT_GAIN = 200.0
 MISSING_SAMPLE = -32768
 
 # Fixed patterns of the header format.
-RECORD_LINE = r"^(\S+?)(/\d+)?\s+(\d+)(?:\s+([0-9.eE+-]+)\S*)?(?:\s+(\d+))?"
+RECORD_LINE = r"^\s*(\S+?)(/\d+)?\s+(\d+)(?=\s|$)"
+RATE = r"^([0-9.eE+-]+)(/\S*)?$"
+GAIN = r"^([0-9.eE+-]+)(\((-?\d+)\))?(/\S+)?$"
 SIGNAL_LINE = (
     r"^(\S+)\s+(\d+)(x\d+)?(:\d+)?(?:\+(\d+))?"
     r"(?:\s+([0-9.eE+-]+)(?:\((-?\d+)\))?(?:/\S+)?)?"
@@ -36,9 +38,23 @@ def _field(line: Column, pattern: str, group: int) -> Column:
     return F.nullif(F.regexp_extract(line, pattern, group), F.lit(""))
 
 
+def _word(line: Column, position: int) -> Column:
+    """A word of a line, null if it has fewer."""
+    return F.get(F.split(F.trim(line), r"\s+"), F.lit(position))
+
+
+def _unreadable(text: Column, number: Column) -> Column:
+    """Whether a field is there but gives no number; one that is left out has a default."""
+    return text.isNotNull() & (number.isNull() | F.isnan(number.cast("double")))
+
+
 def _signal(line: Column, position: Column) -> Column:
-    gain = _field(line, SIGNAL_LINE, 6).try_cast("double")
-    zero = _field(line, SIGNAL_LINE, 8).try_cast("int")
+    # What follows the format is the gain; a word that is none leaves the scale of the lead unknown.
+    scale = _word(line, 2)
+    gain = _field(scale, GAIN, 1).try_cast("double")
+    gain = F.when(F.abs(gain) < float("inf"), gain)
+    baseline, zero = _field(scale, GAIN, 3), _field(line, SIGNAL_LINE, 8)
+    offset = _field(line, SIGNAL_LINE, 5)
     return F.struct(
         position.cast("int").alias("lead_idx"),
         _field(line, SIGNAL_LINE, 1).alias("file"),
@@ -46,20 +62,35 @@ def _signal(line: Column, position: Column) -> Column:
         F.concat(
             F.regexp_extract(line, SIGNAL_LINE, 3), F.regexp_extract(line, SIGNAL_LINE, 4)
         ).alias("layout"),
-        F.coalesce(_field(line, SIGNAL_LINE, 5).try_cast("int"), F.lit(0)).alias("offset"),
+        F.coalesce(offset.try_cast("int"), F.lit(0)).alias("offset"),
         F.when(gain != 0, gain).otherwise(DEFAULT_GAIN).alias("gain"),
-        F.coalesce(_field(line, SIGNAL_LINE, 7).try_cast("int"), zero, F.lit(0)).alias("baseline"),
+        F.coalesce(baseline.try_cast("int"), zero.try_cast("int"), F.lit(0)).alias("baseline"),
         _field(line, SIGNAL_LINE, 9).alias("lead"),
+        F.when(_unreadable(offset, offset.try_cast("int")), "offset not understood")
+        .when(
+            _unreadable(baseline, baseline.try_cast("int")) | scale.rlike(r"\((?!-?\d+\)(/|$))"),
+            "baseline not understood",
+        )
+        .when(_unreadable(scale, gain), "gain not understood")
+        .when(_unreadable(zero, zero.try_cast("int")), "zero not understood")
+        .alias("problem"),
     )
 
 
 def parse_headers(headers: DataFrame) -> DataFrame:
-    """One row per header file ``(path, content)``, with ``reason`` where it cannot be used."""
+    """One row per header file ``(path, content)``, with ``reason`` where it cannot be used.
+
+    A field that is left out has its default. One that is there and cannot be
+    read makes the recording unusable, as its samples or its time would be wrong.
+    """
     lines = F.filter(
         F.split(F.decode("content", "ISO-8859-1"), r"\r?\n"),
         lambda line: ~line.rlike(r"^\s*(#|$)"),
     )
     first = F.get("lines", F.lit(0))
+    rate, samples = _word(first, 2), _word(first, 3)
+    rate_number = _field(rate, RATE, 1).try_cast("double")
+    samples_number = F.when(samples.rlike(r"^\d+$"), samples.try_cast("long"))
     return (
         headers.select("path", lines.alias("lines"))
         .select(
@@ -67,10 +98,11 @@ def parse_headers(headers: DataFrame) -> DataFrame:
             F.regexp_extract("path", r"([^/]*)\.[^./]*$", 1).alias("record"),
             _field(first, RECORD_LINE, 2).alias("parts"),
             _field(first, RECORD_LINE, 3).try_cast("int").alias("n_leads"),
-            F.coalesce(_field(first, RECORD_LINE, 4).try_cast("double"), F.lit(DEFAULT_RATE)).alias(
-                "fs"
-            ),
-            F.nullif(_field(first, RECORD_LINE, 5).try_cast("long"), F.lit(0)).alias("n_samples"),
+            F.when(rate.isNull(), F.lit(DEFAULT_RATE)).otherwise(rate_number).alias("fs"),
+            F.nullif(samples_number, F.lit(0)).alias("n_samples"),
+            F.when(_unreadable(rate, rate_number), "sampling rate not understood")
+            .when(_unreadable(samples, samples_number), "number of samples not understood")
+            .alias("problem"),
             F.transform(F.slice("lines", 2, F.greatest(F.size("lines"), F.lit(1))), _signal).alias(
                 "signals"
             ),
@@ -90,9 +122,12 @@ def parse_headers(headers: DataFrame) -> DataFrame:
             .when(
                 F.exists("signals", lambda s: (s["format"] != "16") | (s["layout"] != "")),
                 "sample format not supported",
+            )
+            .otherwise(
+                F.coalesce("problem", F.get(F.filter("signals.problem", lambda p: p.isNotNull()), F.lit(0)))
             ),
         )
-        .drop("parts", "n_leads")
+        .drop("parts", "n_leads", "problem")
     )
 
 
@@ -113,7 +148,7 @@ def reject_repeated(headers: DataFrame) -> DataFrame:
 def match_signals(headers: DataFrame, signal_files: DataFrame) -> DataFrame:
     """One row per signal file of a recording, with ``content`` and ``reason``.
 
-    ``signal_files`` has ``path``, ``length`` and ``content``.
+    ``signal_files`` has ``path``, ``length`` and, where Spark is to read it, ``content``.
     """
     headers = reject_repeated(headers)
     usable = F.col("reason").isNull()
@@ -127,7 +162,7 @@ def match_signals(headers: DataFrame, signal_files: DataFrame) -> DataFrame:
         )
         .withColumn("signal_path", F.concat_ws("/", "folder", "file"))
     )
-    found = signal_files.select(F.col("path").alias("signal_path"), "length", "content")
+    found = signal_files.withColumnRenamed("path", "signal_path")
     offset = F.get("signals", F.lit(0))["offset"]
     room = whole_div(F.col("length") - offset, 2 * F.size("signals"))
     return (
@@ -273,8 +308,11 @@ def whole_recordings(decoded: DataFrame) -> DataFrame:
 
     A recording kept in one file passes without a shuffle. The files of the
     others come together in one row: no more than the header names, as repeated
-    recordings have been rejected.
+    recordings have been rejected. Rows of ``signals.read_whole`` hold whole
+    recordings already.
     """
+    if "n_files" not in decoded.columns:
+        return decoded
     arrays = ["lead_idx", "lead", "signals"]
     keys = [c for c in decoded.columns if c not in arrays]
     spread = (
@@ -316,6 +354,7 @@ def match_recordings(
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", signal_glob)
         .load(path)
+        .drop("modificationTime")
     )
     parsed = read_headers(spark, path) if headers is None else headers
     if labels is not None:
