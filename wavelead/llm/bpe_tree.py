@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from wavelead.llm.bpe import STEPS, byte_characters
+from wavelead.llm.text import in_parts
 
 NONE = (1 << 31) - 1  # the rank of a pair that is not in the vocabulary
 # Parts of more symbols are merged one by one, and so many cells at once otherwise.
@@ -79,7 +80,7 @@ class TreeBpe:
     merged together, each in a segment tree of its own.
     """
 
-    def __init__(self, vocabulary: str, limit: int = 400_000):
+    def __init__(self, vocabulary: str, limit: int = 150_000):
         spec = json.loads(vocabulary)
         model = spec["model"]
         options = ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges")
@@ -350,17 +351,20 @@ _CHARACTERS = {b: c for b, c in byte_characters().items() if b not in b"\n\x00"}
 _BYTES = {character: byte for byte, character in byte_characters().items()}
 
 
-def encode_documents(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """doc_id and the ids of the whole text."""
+def encode_documents(docs: DataFrame, vocabulary: str, decoded: bool = False) -> DataFrame:
+    """doc_id and the ids of the whole text; with ``decoded`` also the text that the ids decode to."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    names = ["doc_id", "ids", *["decoded"] * decoded]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = TreeBpe(shared.value)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), bpe.encode(batch.column(1))], names=["doc_id", "ids"])
+        for whole in batches:
+            for batch in in_parts(whole, 1):
+                ids = bpe.encode(batch.column(1))
+                yield pa.RecordBatch.from_arrays([batch.column(0), ids, *[bpe.decode(ids)] * decoded], names=names)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        encode, "doc_id long, ids array<int>"
+        encode, "doc_id long, ids array<int>" + ", decoded string" * decoded
     )
 
 
@@ -370,9 +374,11 @@ def decode_documents(encoded: DataFrame, vocabulary: str) -> DataFrame:
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = TreeBpe(shared.value)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), bpe.decode(batch.column(1))], names=["doc_id", "ids", "decoded"]
-            )
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(1), bpe.decode(batch.column(1))], names=["doc_id", "ids", "decoded"]
+                )
 
     return encoded.select("doc_id", "ids").mapInArrow(decode, "doc_id long, ids array<int>, decoded string")

@@ -41,8 +41,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wavelead.llm.graph import components
-from wavelead.llm.text import WordHashes, grams, mix
-from wavelead.storage import materialize
+from wavelead.llm.text import ByteHashes, WordHashes, grams, mix
+from wavelead.storage import materialize, settle
 
 WORDS = 5
 THRESHOLD = 85
@@ -67,14 +67,6 @@ def shingle_set(text: str, hashes: WordHashes, n: int = WORDS) -> np.ndarray:
     return np.unique(grams(each, n))
 
 
-class ByteHashes(WordHashes):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-
 def multipliers(n: int) -> tuple[np.ndarray, np.ndarray]:
     seeds = mix(np.arange(1, 2 * n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     return seeds[:n] | np.uint64(1), seeds[n:]
@@ -349,7 +341,7 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
 def distinct_documents(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """One document of every class, with all its columns; of rows with the same id one. Rows without id stay."""
-    judged = near_duplicates(docs, threshold)
+    judged = settle(docs.sparkSession, "near-duplicates", lambda: near_duplicates(docs, threshold))
     kept = judged.where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept")).distinct()
     rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("_id"))
     one = rows.join(kept, F.col("_id") == F.col("_kept"), "left_semi").dropDuplicates(["_id"])

@@ -93,8 +93,8 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = bpe_tree.encode_documents(table(spark, sf_dir, "documents"), vocabulary())
-    return bpe_tree.decode_documents(encoded, vocabulary()).select(
+    coded = bpe_tree.encode_documents(table(spark, sf_dir, "documents"), vocabulary(), decoded=True)
+    return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),

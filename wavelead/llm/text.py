@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # A word is a stretch without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
+# Bytes of texts that are split at a time.
+SPLIT_BYTES = 4 << 20
 # The white space that str.split knows beyond ASCII's.
 _OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
 _WORDS = re.compile(WORD)
@@ -30,16 +33,6 @@ def words_column(text: Column) -> Column:
     return F.filter(parts, lambda w: w != "")
 
 
-def map_arrow(
-    df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str
-) -> DataFrame:
-    return df.mapInArrow(function, schema)
-
-
-def record_batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
-
-
 class WordHashes(dict):
     """64-bit hash of every word, computed once; emptied when it holds ``limit`` words."""
 
@@ -57,6 +50,55 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+class ByteHashes(WordHashes):
+    """The same for words given as bytes."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.limit:
+            self.clear()
+        value = self[word] = xxhash.xxh64_intdigest(word)
+        return value
+
+    def of_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the words of all texts one after another, A-Z in lower case, and where each text's begin and end."""
+        words, ends = split_column(texts, LOWER)
+        distinct = words.dictionary_encode()
+        known = self.of(distinct.dictionary.cast(pa.binary()).to_pylist())
+        return known[np.asarray(distinct.indices)] if len(words) else known, ends
+
+
+LOWER = bytes(range(256)).lower()
+
+
+def split_column(texts: pa.Array, fold: bytes) -> tuple[pa.Array, np.ndarray]:
+    """The words of a column of texts one after another, and where each text's begin and end; null is empty.
+
+    ``fold`` says what every byte of a text becomes before it is split at ASCII white space.
+    """
+    if not len(texts):
+        return pa.array([], pa.string()), np.zeros(1, np.int64)
+    texts = pc.fill_null(texts.cast(pa.string()), "")
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    data = texts.buffers()[2]
+    folded = bytes(memoryview(data)[offsets[0] : offsets[-1]]).translate(fold) if data else b""
+    offsets = (offsets - offsets[0]).astype(np.int32)
+    texts = pa.StringArray.from_buffers(len(texts), pa.py_buffer(offsets), pa.py_buffer(folded))
+    split = pc.ascii_split_whitespace(texts)
+    words, ends = split.flatten(), np.asarray(split.offsets) - split.offsets[0].as_py()
+    full = np.asarray(pc.greater(pc.binary_length(words), 0))
+    return words.filter(pa.array(full)), np.append(0, np.cumsum(full))[ends]
+
+
+def in_parts(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose texts in ``column`` have about ``SPLIT_BYTES``, or a single row."""
+    size = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64)
+    part = (np.cumsum(size) - size) // SPLIT_BYTES
+    cuts = np.flatnonzero(np.diff(part)) + 1
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+        if a < b:
+            yield batch.slice(a, b - a)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective mixing of 64-bit values (the finaliser of splitmix64)."""
     x = x ^ (x >> np.uint64(30))
