@@ -274,6 +274,36 @@ def score(k: int) -> str:
     )
 
 
+def shuffled(rows: str) -> str:
+    """CTEs ending in ``walked``: the rows (id) by number, and the number each gives its value to.
+
+    Four rounds over two halves of equal width; what is not below the number of
+    rows goes through them again.
+    """
+    keys = [(42 * 40503 + (k + 1) * 2654435761) % 2**31 for k in range(4)]
+    step = "SELECT *, x >> half AS l0, x & mask AS r0 FROM walk WHERE turn = 0 OR x >= n"
+    for k, key in enumerate(keys):
+        step = (
+            f"SELECT *, r{k} AS l{k + 1}, xor(l{k}, ((r{k} * 1103515245 + {key}) >> 12) & mask) AS r{k + 1} "
+            f"FROM ({step})"
+        )
+    return f"""WITH RECURSIVE numbered AS (
+  SELECT id, row_number() OVER (ORDER BY id) - 1 AS p, count(*) OVER () AS n FROM ({rows})),
+sized AS (
+  SELECT *, CAST(ceil(len(bin(greatest(n - 1, 1))) / 2) AS BIGINT) AS half FROM numbered),
+walk(id, x, n, half, mask, turn) AS (
+  SELECT id, p, n, half, (1::BIGINT << half) - 1, 0 FROM sized
+  UNION ALL
+  SELECT id, (l4 << half) | r4, n, half, mask, turn + 1 FROM ({step})),
+walked AS (
+  SELECT id, x FROM walk WHERE turn > 0 AND x < n)"""
+
+
+# Every row with the row that gives it its value.
+DONORS = f"""{shuffled("SELECT vec_id AS id FROM embeddings")},
+donors AS (
+  SELECT numbered.id, walked.id AS donor FROM numbered JOIN walked ON walked.x = numbered.p)"""
+
 # The bands of a lead one after another, named by their position.
 BAND_LISTS = " UNION ALL ".join(
     f"SELECT vec_id, {b} AS band, {name} AS w FROM x4"
@@ -451,8 +481,36 @@ FROM labels WHERE quality <> toxic""",
 FROM (SELECT label AS source, vec_id % 2 AS label,
   least({score(0)} * 8, 0.99::DOUBLE) AS p
   FROM (SELECT *, embedding::DOUBLE[] AS x FROM embeddings)) GROUP BY source""",
-    "permute_column": """SELECT r.id, d.label FROM
-  (SELECT vec_id AS id, row_number() OVER (ORDER BY vec_id) AS n FROM embeddings) r JOIN
-  (SELECT label, row_number() OVER (ORDER BY md5('42:' || vec_id), vec_id) AS n
-    FROM embeddings) d USING (n)""",
+    "permute_column": f"""{DONORS}
+SELECT id, label FROM donors JOIN embeddings ON vec_id = donor""",
+    "fit_at_optimum": f"""SELECT t.fold, count(*) AS n_train, {rounded("avg(f.label)")} AS rate,
+  true AS mean_agrees, true AS gradient_is_zero
+FROM ({LEADS}) l JOIN ({FOLDS}) f USING (patient_id) JOIN (SELECT DISTINCT fold FROM ({FOLDS})) t ON t.fold <> f.fold
+GROUP BY t.fold""",
+    "stacking_at_optimum": f"""SELECT t.fold, count(*) AS n_train, {rounded("avg(f.label)")} AS rate,
+  true AS mean_agrees, true AS gradient_is_zero
+FROM ({LEADS}) l JOIN ({FOLDS}) f USING (patient_id) JOIN (SELECT DISTINCT fold FROM ({FOLDS})) t ON t.fold <> f.fold
+GROUP BY t.fold""",
+    "ablation_of_known": f"""WITH rows AS (
+  SELECT f.label, f.fold FROM ({LEADS}) l JOIN ({FOLDS}) f USING (patient_id)),
+learned AS (
+  SELECT t.fold, avg(r.label) AS p FROM (SELECT DISTINCT fold FROM rows) t JOIN rows r ON r.fold <> t.fold GROUP BY t.fold),
+blind AS (
+  SELECT count(*) AS n, avg(CASE WHEN (p >= 0.5) = (label = 1) THEN 1 ELSE 0 END) AS accuracy,
+    avg(-ln(CASE WHEN label = 1 THEN p ELSE 1 - p END)) AS log_loss FROM rows JOIN learned USING (fold))
+SELECT mode, feature_group, 'logistic' AS model, n, round(accuracy, 4) + 0.0 AS accuracy, round(log_loss, 4) + 0.0 AS log_loss
+FROM blind, (VALUES ('only', 'nothing'), ('without', 'answer')) r(mode, feature_group)
+UNION ALL
+SELECT mode, feature_group, 'forest', n, 1.0::DOUBLE, 0.0::DOUBLE
+FROM blind, (VALUES ('only', 'answer'), ('without', 'nothing')) r(mode, feature_group)""",
+    "importance_of_the_answer": f"""{DONORS}
+SELECT 'answer' AS feature, count(*) AS n,
+  round(avg(CASE WHEN a.label <> b.label THEN 1 ELSE 0 END), 4) + 0.0 AS accuracy_drop,
+  round(avg(CASE WHEN a.label <> b.label THEN -ln(1e-15::DOUBLE) ELSE 0 END), 4) + 0.0 AS log_loss_rise
+FROM donors JOIN ({LABELS}) a ON a.patient_id = id // 12 JOIN ({LABELS}) b ON b.patient_id = donor // 12""",
+    "published_patients": """SELECT vec_id % 97 AS "group", vec_id,
+  CASE WHEN vec_id % 97 % 3 <> 0 THEN label WHEN vec_id % 97 < 30 THEN label + 200 ELSE label + 100 END AS label
+FROM embeddings WHERE NOT (vec_id % 97 < 30 AND vec_id % 97 % 6 = 0)""",
 }
+
+ORACLES["report_on_write"] = ORACLES["dataset_report"]

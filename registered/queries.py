@@ -43,7 +43,7 @@ from wavelead.functions.columns import (
     universal_threshold,
 )
 from wavelead.functions.wavelet import denoise, wavedec, waverec
-from wavelead.operators.dataset import collate, dataset_report, dataset_rows, shape_rejects
+from wavelead.operators.dataset import Observed, collate, dataset_report, dataset_rows, shape_rejects
 from wavelead.operators.denoising import clean_leads, denoise_chunks, denoise_samples
 from wavelead.operators.evaluation import confusion, late_fusion, misses
 from wavelead.operators.features import FEATURES, lead_features, record_features
@@ -52,6 +52,7 @@ from wavelead.operators.layout import LEAD, arrays_to_samples, samples_to_arrays
 from wavelead.operators.models import (
     ablation,
     accuracy,
+    fit_gaps,
     out_of_fold,
     permutation_importance,
     permute_column,
@@ -80,7 +81,14 @@ from wavelead.sources.recordings import (
     parse_headers,
 )
 from wavelead.sources.signals import locate_recordings, read_stretches
-from wavelead.sources.tables import read_dataset, read_segments, write_dataset, write_segments
+from wavelead.sources.tables import (
+    publish,
+    read_dataset,
+    read_published,
+    read_segments,
+    write_dataset,
+    write_segments,
+)
 from wavelead.storage import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -539,6 +547,75 @@ def importance_of_a_constant(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def fit_at_optimum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each fold learned from, and whether its model fulfils the conditions of an optimum."""
+    rows, features = _model_rows(spark, sf_dir)
+    return _optimum(fit_gaps(rows, features))
+
+
+def stacking_at_optimum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for the model over other models' scores."""
+    rows, _ = _model_rows(spark, sf_dir)
+    scores = stack_scores({f"s{k}": _scores(spark, sf_dir, k) for k in range(4)})
+    return _optimum(fit_gaps(scores.join(rows.select("id", "label", "fold"), "id"), [f"s{k}" for k in range(4)]))
+
+
+def _optimum(gaps: DataFrame) -> DataFrame:
+    return gaps.select(
+        "fold",
+        "n_train",
+        rounded("rate").alias("rate"),
+        (F.abs(F.col("mean_score") - F.col("rate")) < 1e-3).alias("mean_agrees"),
+        (F.col("max_gradient") < 1e-3).alias("gradient_is_zero"),
+    )
+
+
+def _known_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A feature that is the label itself and one that says nothing."""
+    rows, _ = _model_rows(spark, sf_dir)
+    return rows.select("id", "label", "fold", F.col("label").cast("double").alias("answer"), F.lit(1.0).alias("nothing"))
+
+
+def ablation_of_known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs whose result is known: trees on the answer alone, a regression on a constant alone."""
+    runs = ablation(_known_rows(spark, sf_dir), {"answer": ["answer"], "nothing": ["nothing"]}, ("logistic", "forest"))
+    sees_answer = ((F.col("mode") == "only") & (F.col("feature_group") == "answer")) | (
+        (F.col("mode") == "without") & (F.col("feature_group") == "nothing")
+    )
+    known = runs.where((F.col("mode") != "all") & (sees_answer == (F.col("model") == "forest")))
+    return known.select(
+        "mode", "feature_group", "model", "n", *[(F.round(c, 4) + F.lit(0.0)).alias(c) for c in ("accuracy", "log_loss")]
+    )
+
+
+def importance_of_the_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees that know the answer are wrong exactly where the donor's label is another one."""
+    found = permutation_importance(_known_rows(spark, sf_dir), ["answer"], model="forest")
+    return found.select(
+        "feature", "n", *[(F.round(c, 4) + F.lit(0.0)).alias(c) for c in ("accuracy_drop", "log_loss_rise")]
+    )
+
+
+def report_on_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of the data set from what is observed while it is written."""
+    watched, path = Observed(), new_path(spark, "dataset")
+    rows = dataset_rows(collated(spark, sf_dir), SHAPE)
+    write_dataset(watched.watch(rows), path)
+    return watched.report(read_dataset(spark, path), SHAPE)
+
+
+def published_patients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of three runs: all patients, every third one again, and then some that have no rows any more."""
+    root = new_path(spark, "published")
+    rows = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 97).alias("group"), "vec_id", "label")
+    publish(rows, root, "group")
+    third = rows.where(F.col("group") % 3 == 0)
+    publish(third.withColumn("label", F.col("label") + 100), root, "group")
+    again = third.where(F.col("group") % 2 == 1).withColumn("label", F.col("label") + 200)
+    publish(again, root, "group", keys=third.where("group < 30"))
+    return read_published(spark, root, "group")
+
+
 def dataset_with_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From files in which every seventh recording occurs in a second folder: those give no rows."""
     headers, signals = record_files(spark, sf_dir)
@@ -611,6 +688,12 @@ QUERIES: dict[str, Query] = {
     "score_columns": score_columns,
     "score_quality": score_quality,
     "permute_column": permuted,
+    "fit_at_optimum": fit_at_optimum,
+    "stacking_at_optimum": stacking_at_optimum,
+    "ablation_of_known": ablation_of_known,
+    "importance_of_the_answer": importance_of_the_answer,
+    "report_on_write": report_on_write,
+    "published_patients": published_patients,
     "out_of_fold": oof_scores,
     "stacking": stacked_scores,
     "ablation": ablation_runs,

@@ -16,7 +16,7 @@ from pyspark.ml import Estimator, Pipeline
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavelead.operators.ranking import row_index
@@ -115,6 +115,45 @@ def _cross_validate(
     ]
 
 
+def fit_gaps(rows: DataFrame, features: list[str], reg: float = 0.01) -> DataFrame:
+    """How far the logistic regression of every fold is from its optimum, on the rows it learned from.
+
+    At the optimum the mean score equals the share of ones, and the gradient of
+    the loss, penalty included, is 0 for every feature (``max_gradient`` is the
+    largest, in units of a feature's standard deviation; as the mean score agrees,
+    features may be centred for it). ``rows`` is as for
+    :func:`out_of_fold`, without gaps.
+    """
+    rows = materialize(rows.select("label", "fold", *features), "fit-gaps", ("fold",))
+
+    def job(fold) -> DataFrame:
+        train = rows.where(F.col("fold") != fold)
+        model = _fit(train, features, logistic(reg))
+        weights = model.stages[-1].coefficients.toArray().tolist()
+        error = F.col("p") - F.col("label")
+        found = _score(model, train).agg(
+            F.count(F.lit(1)).alias("n_train"),
+            F.avg(F.col("label").cast("double")).alias("rate"),
+            F.avg("p").alias("mean_score"),
+            *[F.covar_pop(error, c).alias(f"_g{k}") for k, c in enumerate(features)],
+            *[F.stddev_samp(c).alias(f"_s{k}") for k, c in enumerate(features)],
+            *[F.max(F.abs(c)).alias(f"_m{k}") for k, c in enumerate(features)],
+        )
+        # What varies in its last digits only is a constant.
+        gradient = [
+            F.when(
+                F.col(f"_s{k}") > 1e-9 * F.col(f"_m{k}"), F.abs(F.col(f"_g{k}") / F.col(f"_s{k}") + reg * w * F.col(f"_s{k}"))
+            ).otherwise(0.0)
+            for k, w in enumerate(weights)
+        ]
+        return found.select(
+            F.lit(fold).alias("fold"), "n_train", "rate", "mean_score", F.array_max(F.array(*gradient)).alias("max_gradient")
+        )
+
+    jobs = [partial(job, fold) for fold in _fold_numbers(rows)]
+    return reduce(DataFrame.unionByName, _in_parallel(rows.sparkSession, jobs))
+
+
 def stack_scores(scores: dict[str, DataFrame], key: str = "id") -> DataFrame:
     """Score tables ``(key, p)`` side by side, one column per model."""
     named = [df.select(key, F.col("p").alias(name)) for name, df in scores.items()]
@@ -171,11 +210,50 @@ def ablation(
     return reduce(DataFrame.unionByName, results)
 
 
+# Rounds of the network and the most steps of a walk: of numbers out of range, three
+# quarters at worst, so many steps in a row leave one in 10**16 there.
+ROUNDS = 4
+WALK = 128
+# Fixed factor and shift of a round.
+FACTOR, SHIFT = 1103515245, 12
+
+
+def round_keys(seed: int) -> list[int]:
+    return [(seed * 40503 + (k + 1) * 2654435761) % 2**31 for k in range(ROUNDS)]
+
+
+def shuffled(number: Column, n: int, seed: int = SEED) -> Column:
+    """Another number below ``n`` for every number below it: a bijection given by ``seed``.
+
+    A balanced Feistel network over the even number of bits that hold ``n - 1``;
+    a result that is not below ``n`` goes through it again until it is. Integer
+    functions of Spark only, so no row has to know of any other.
+    """
+    half = max(1, -(-(max(n - 1, 1).bit_length()) // 2))
+    mask = (1 << half) - 1
+    keys = F.array(*[F.lit(k).cast("long") for k in round_keys(seed)])
+
+    def turn(s: Column, key: Column) -> Column:
+        mixed = F.shiftright(s["r"] * F.lit(FACTOR) + key, SHIFT).bitwiseAND(F.lit(mask).cast("long"))
+        return F.struct(s["r"].alias("l"), s["l"].bitwiseXOR(mixed).alias("r"))
+
+    def through(x: Column) -> Column:
+        start = F.struct(F.shiftright(x, half).alias("l"), x.bitwiseAND(F.lit(mask).cast("long")).alias("r"))
+        return F.aggregate(keys, start, turn, lambda s: F.shiftleft(s["l"], half).bitwiseOR(s["r"]))
+
+    walked = F.aggregate(
+        F.sequence(F.lit(1), F.lit(WALK)),
+        through(number.cast("long")),
+        lambda x, _: F.when(x < n, x).otherwise(through(x)),
+    )
+    return F.when(walked < n, walked).otherwise(F.raise_error(F.lit("walk out of range")).cast("long"))
+
+
 def permute_column(rows: DataFrame, column: str, key: str = "id", seed: int = SEED) -> DataFrame:
     """Deal the values of a column out anew over all rows.
 
-    The rows are numbered by ``key`` and, for the donors, by a seeded hash of
-    it; equal numbers trade values. Both numberings are distributed.
+    The rows are numbered once, by ``key``; :func:`shuffled` says to which
+    number a row gives its value.
     """
     return _with_donors(rows, [column], key, seed).select(
         *[F.col(f"_of_{c}" if c == column else c).alias(c) for c in rows.columns]
@@ -184,12 +262,11 @@ def permute_column(rows: DataFrame, column: str, key: str = "id", seed: int = SE
 
 def _with_donors(rows: DataFrame, columns: list[str], key: str, seed: int) -> DataFrame:
     """Rows beside the ``columns`` of another row each, as ``_of_<name>``: one join for all of them."""
-    shuffled = rows.withColumn("_shuffled", F.md5(F.concat_ws(":", F.lit(seed), key)))
-    receivers = row_index(rows, [], [key], "_n")
-    donors = row_index(shuffled, [], ["_shuffled", key], "_n").select(
-        "_n", *[F.col(c).alias(f"_of_{c}") for c in columns]
-    )
-    return receivers.join(donors, "_n").drop("_n")
+    numbered = row_index(rows, [], [key], "_n", count="_size")
+    size = numbered.select("_size").first()
+    to = shuffled(F.col("_n"), size["_size"] if size else 1, seed)
+    donors = numbered.select(to.alias("_n"), *[F.col(c).alias(f"_of_{c}") for c in columns])
+    return numbered.drop("_size").join(donors, "_n").drop("_n")
 
 
 def permutation_importance(
@@ -209,17 +286,20 @@ def permutation_importance(
     rows = rows.select(key, "label", "fold", *features)
     both = materialize(_with_donors(rows, columns, key, seed), "importance", ("fold",))
 
-    def job(fold) -> list[DataFrame]:
+    def variant(column: str | None) -> Column:
+        """The features with the donor's value in place of one of them."""
+        values = [F.col(f"_of_{c}" if c == column else c).alias(c) for c in features]
+        return F.struct(F.lit(column).cast("string").alias("feature"), *values)
+
+    def job(fold) -> DataFrame:
         fitted = _fit(both.where(F.col("fold") != fold), features, MODELS[model]())
-        held_out = both.where(F.col("fold") == fold)
-        scored = [_score(fitted, held_out).select(F.lit(None).cast("string").alias("feature"), "label", "p")]
-        for column in columns:
-            permuted = held_out.withColumn(column, F.col(f"_of_{column}"))
-            scored.append(_score(fitted, permuted).select(F.lit(column).alias("feature"), "label", "p"))
-        return scored
+        # All variants of a row go through the model together, in one pass over the fold.
+        variants = F.explode(F.array(*[variant(c) for c in (None, *columns)]))
+        held_out = both.where(F.col("fold") == fold).select("label", variants.alias("v")).select("label", "v.*")
+        return _score(fitted, held_out).select("feature", "label", "p")
 
     jobs = [partial(job, fold) for fold in _fold_numbers(both)]
-    parts = [p for of_fold in _in_parallel(rows.sparkSession, jobs) for p in of_fold]
+    parts = _in_parallel(rows.sparkSession, jobs)
     quality = accuracy(reduce(DataFrame.unionByName, parts), ["feature"])
     # A row per column and one for the values as they are.
     quality = materialize(quality, "quality")

@@ -82,7 +82,7 @@ def publish(
 
     They replace all earlier rows of the keys that ``keys`` holds (those of
     ``rows`` unless given: a key that has no rows any more has to be among
-    them). With ``replace_all`` they replace the table. ``check`` gets the
+    them, and rows of other keys don't count). With ``replace_all`` they replace the table. ``check`` gets the
     written rows; if it raises, or anything else fails, readers go on to see the
     table as it was. One writer at a time.
     """
