@@ -21,16 +21,16 @@ id and text columns are read.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavelead.llm.bpe import WordBpe
+from wavelead.llm.bpe_tree import TreeBpe
 from wavelead.storage import materialize, new_path
 
 # Ids in a block before it is closed.
@@ -64,103 +64,96 @@ def decode_ranks(control: bytes, data: bytes) -> np.ndarray:
     return ranks
 
 
+def by_fours(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """``values`` of documents of the given lengths, each filled up with zeros to a multiple of four."""
+    padded = -(-lengths // 4) * 4
+    filled = np.zeros(int(padded.sum()), values.dtype)
+    shift = np.cumsum(padded) - padded - (np.cumsum(lengths) - lengths)
+    filled[np.repeat(shift, lengths) + np.arange(len(values))] = values
+    return filled
+
+
+def id_width(vocabulary: str, end: int) -> int:
+    """Bytes that hold any id of the vocabulary and the end id."""
+    spec = json.loads(vocabulary)
+    top = max([end, *spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"])])
+    return 2 if top < 1 << 16 else 4
+
+
 def encode_texts(docs: DataFrame, vocabulary: str, end: int) -> DataFrame:
-    """doc_id, hash of the text, and the ids of the whole text with the end id, four bytes each."""
+    """doc_id, hash of the text, and the ids of the whole text with the end id, ``id_width`` bytes each.
+
+    A last row of every task has, in ``counts``, how often each id occurs in it.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    tail = np.array([end], "<u4").tobytes()
+    narrow = f"<u{id_width(vocabulary, end)}"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = WordBpe(shared.value)
-        narrow = "<u2" if bpe.size <= 1 << 16 else "<u4"
+        bpe, total = TreeBpe(shared.value), np.zeros(0, np.int64)
+        none = pa.nulls(1, pa.int64())
         for batch in batches:
-            ids = [
-                np.frombuffer(bpe.encode(t or "") + tail, "<u4").astype(narrow).tobytes()
-                for t in batch.column(2).to_pylist()
-            ]
-            wide = pa.array([np.dtype(narrow).itemsize] * len(ids), pa.int32())
+            ids = bpe.encode(batch.column(2))
+            found, n = np.asarray(ids.flatten()), np.diff(np.asarray(ids.offsets))
+            # One place more for every document: its end id.
+            ends = np.cumsum(n + 1)
+            values = np.full(len(found) + len(n), end, narrow)
+            values[np.arange(len(found)) + np.repeat(np.arange(len(n)), n)] = found
+            seen = np.bincount(values, minlength=len(total))
+            seen[: len(total)] += total
+            total = seen
+            offsets = (np.append(0, ends) * values.itemsize).astype(np.int32)
+            column = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(values)])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(ids, pa.binary()), wide],
-                names=["doc_id", "text_hash", "ids", "width"],
+                [batch.column(0), batch.column(1), column, pa.nulls(len(n), counts)], names=names
             )
+        seen = np.flatnonzero(total)
+        pairs = pa.StructArray.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["id", "n"])
+        last = pa.ListArray.from_arrays(pa.array([0, len(seen)], pa.int32()), pairs)
+        yield pa.RecordBatch.from_arrays([none, none, pa.nulls(1, pa.binary()), last], names=names)
+
+    names = ["doc_id", "text_hash", "ids", "counts"]
+    counts = pa.list_(pa.struct([("id", pa.int64()), ("n", pa.int64())]))
 
     return docs.select(
         F.col("doc_id").cast("long"),
         F.xxhash64(F.col("text").cast("string")).alias("text_hash"),
         F.col("text").cast("string"),
-    ).mapInArrow(encode, "doc_id long, text_hash long, ids binary, width int")
-
-
-def _values(ids: bytes, width: int) -> np.ndarray:
-    return np.frombuffer(ids, f"<u{width}")
-
-
-def count_ids(encoded: DataFrame) -> DataFrame:
-    """How often every id occurs; summed up in the tasks first."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
-        for batch in batches:
-            for ids, width in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = np.bincount(_values(ids, width))
-                if len(found) > len(total):
-                    total = np.concatenate([total, np.zeros(len(found) - len(total), np.int64)])
-                total[: len(found)] += found
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["id", "n"])
-
-    return encoded.select("ids", "width").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    ).mapInArrow(encode, "doc_id long, text_hash long, ids binary, counts array<struct<id:long,n:long>>")
 
 
 def write_tokens(docs: DataFrame, vocabulary: str, end: int, path: str, block: int = BLOCK) -> None:
-    """Encode whole texts and write them under ``path`` in ascending order of doc_id."""
+    """Encode whole texts and write them under ``path`` in ascending order of doc_id.
+
+    Texts are read and encoded once; the same pass counts the ids. What is
+    range-partitioned then is the stored table of ids, which become ranks only
+    where a block is closed.
+    """
     spark = docs.sparkSession
     encoded = materialize(encode_texts(docs, vocabulary, end), "token-ids")
+    each = encoded.where("counts IS NOT NULL").select(F.explode("counts").alias("c"))
     # At most one row per entry of the vocabulary comes to the driver.
-    counts = count_ids(encoded).toPandas().sort_values(["n", "id"], ascending=[False, True], ignore_index=True)
+    counts = each.groupBy("c.id").agg(F.sum("c.n").alias("n")).toPandas()
+    counts = counts.sort_values(["n", "id"], ascending=[False, True], ignore_index=True)
     counts.insert(0, "rank", np.arange(len(counts)))
     spark.createDataFrame(counts.astype("int64"), "rank long, id long, n long").coalesce(1).write.parquet(f"{path}/ranks")
     ranks = np.zeros(int(counts["id"].max()) + 1 if len(counts) else 1, np.uint32)
     ranks[counts["id"].to_numpy()] = counts["rank"].to_numpy()
-
-    def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, control, data = [], [], []
-            for ids, width in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                values = ranks[_values(ids, width)]
-                c, d = encode_ranks(values)
-                n.append(len(values))
-                control.append(c)
-                data.append(d)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(control, pa.binary()), pa.array(data, pa.binary())],
-                names=["doc_id", "text_hash", "n", "control", "data"],
-            )
+    width = id_width(vocabulary, end)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, number, held = 0, 0, []
-        size, part = 0, 0
+        first, number, held, size, part = 0, 0, [], 0, 0
 
         def closed() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pandas(
-                pd.DataFrame(
-                    {
-                        "part": np.array([part], np.int32),
-                        "block": np.array([number], np.int32),
-                        "first": [first],
-                        "doc_ids": [[h[0] for h in held]],
-                        "lengths": [[h[1] for h in held]],
-                        "control": [b"".join(h[2] for h in held)],
-                        "data": [b"".join(h[3] for h in held)],
-                    }
-                ),
-                schema=SCHEMA,
-                preserve_index=False,
-            )
+            lengths = np.array([len(ids) // width for _, ids in held], np.int64)
+            values = ranks[np.frombuffer(b"".join(ids for _, ids in held), f"<u{width}")]
+            control, data = encode_ranks(by_fours(values, lengths))
+            fields = ([part], [number], [first], [[d for d, _ in held]], [lengths], [control], [data])
+            return pa.RecordBatch.from_arrays([pa.array(f, s.type) for f, s in zip(fields, SCHEMA)], schema=SCHEMA)
 
         for batch in batches:
-            for *row, part in zip(*[c.to_pylist() for c in batch.columns]):
-                held.append(row)
-                size += row[1]
+            for doc_id, ids, part in zip(*[c.to_pylist() for c in batch.columns]):
+                held.append((doc_id, ids))
+                size += len(ids) // width
                 if size >= block:
                     yield closed()
                     first, number, held, size = first + size, number + 1, [], 0
@@ -168,10 +161,11 @@ def write_tokens(docs: DataFrame, vocabulary: str, end: int, path: str, block: i
             yield closed()
 
     (
-        encoded.mapInArrow(compress, "doc_id long, text_hash long, n long, control binary, data binary")
+        encoded.where("counts IS NULL")
+        .select("doc_id", "text_hash", "ids")
         .repartitionByRange("doc_id", "text_hash")
         .sortWithinPartitions("doc_id", "text_hash")
-        .select("doc_id", "n", "control", "data", F.spark_partition_id().alias("part"))
+        .select("doc_id", "ids", F.spark_partition_id().alias("part"))
         .mapInArrow(gather, BLOCKS)
         .write.parquet(f"{path}/blocks")
     )
