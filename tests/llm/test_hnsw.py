@@ -79,6 +79,52 @@ def test_a_third_are_copies(spark):
     assert found[20] == true[20] and found[320] == true[320]
 
 
+def recall_of(found, true, part):
+    return recall({q: found[q] for q in part}, {q: true[q] for q in part})
+
+
+def test_every_cluster_is_found(spark):
+    """A tight group that points away from all others, and many small groups, on several shards."""
+    chance = np.random.default_rng(4)
+    main = chance.normal(size=32)
+    away = -main + 0.05 * chance.normal(size=(60, 32))
+    vectors = np.concatenate([main + 0.3 * chance.normal(size=(9000, 32)), away]).astype(np.float32)
+    vectors = vectors[chance.permutation(len(vectors))]
+    minority = [k for k in range(len(vectors)) if vectors[k] @ main < 0]
+    every = [k for k in minority if k % 4 == 0]
+    for shard_rows in (16_384, 3000):
+        rows = [(k, v.tolist()) for k, v in enumerate(vectors)]
+        found = answers_of(nearest_neighbours(frame(spark, rows), every=4, shard_rows=shard_rows).collect())
+        true = brute_force(range(len(vectors)), vectors, every=4)
+        assert recall_of(found, true, every) > 0.95
+        assert recall_of(found, true, [q for q in true if q not in every]) > 0.9
+    centres = 3 * chance.normal(size=(150, 32))
+    vectors = (np.repeat(centres, 40, axis=0) + 0.2 * chance.normal(size=(6000, 32))).astype(np.float32)
+    rows = [(k, v.tolist()) for k, v in enumerate(vectors)]
+    found = answers_of(nearest_neighbours(frame(spark, rows), every=5, shard_rows=2000).collect())
+    true = brute_force(range(6000), vectors, every=5)
+    worst = min(recall_of(found, true, [q for q in true if q // 40 == c]) for c in range(150))
+    assert worst >= 0.9
+
+
+def test_more_neighbours_than_the_default(spark):
+    chance = np.random.default_rng(9)
+    vectors = chance.normal(size=(1500, 8)).astype(np.float32)
+    vectors[300:400] = vectors[40]
+    rows = [(k, v.tolist()) for k, v in enumerate(vectors)]
+    for k in (50, 250):
+        found = answers_of(nearest_neighbours(frame(spark, rows), k=k, shard_rows=800).collect())
+        true = brute_force(range(1500), vectors, k=k)
+        assert recall(found, true) > 0.98
+        assert found[40][:50] == true[40][:50]
+
+
+def test_the_query_of_a_repeated_id(spark):
+    rows = [(0, [2.0, 1.0]), (0, [1.0, 5.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0])]
+    found = answers_of(nearest_neighbours(frame(spark, rows)).collect())
+    assert found == {0: [(2, 5.0), (1, 1.0)]}
+
+
 def test_awkward_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (20, [0.0, 2.0]), (40, None), (60, [0.0, 0.0]), (80, [nan, 1.0]), (100, [inf, 1.0])]

@@ -10,6 +10,11 @@ the best nodes met as starts for the next, and keeps a beam of ``BEAM`` in layer
 0; many queries take their steps together. Nodes are the distinct vectors of a
 shard, so copies of a vector, however many, are one node with a list of ids.
 
+Every node is a landmark or linked from one: nodes are gone through from the top
+layer down, and those that no landmark so far links to become landmarks. A
+search in layer 0 starts from the best of the landmarks too, so a small group of
+vectors that no way from the top leads to is found all the same.
+
 Near means a large inner product, in building a graph as in searching it, so
 long vectors are linked from everywhere as they are found from everywhere. The
 steps take single precision; what a shard returns is scored anew in double
@@ -18,8 +23,9 @@ precision on the original vectors, and the best of all shards are kept.
 Vectors that are null, zero, or hold null or non-finite components take no
 part, nor do those of another length than most (of equally frequent lengths the
 larger counts). A query finds all candidates if they are fewer than ``k``. Rows
-that repeat an id are candidates as often as they occur, once each. A null id
-takes no part. Empty tables give empty results.
+that repeat an id are candidates as often as they occur, once each; if their
+vectors differ, the query is the smallest of them in the order of arrays. A null
+id takes no part. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -38,10 +44,11 @@ LINKS = 16
 NEAR = 48
 BEAM = 192
 STARTS = 16
+LANDMARKS = 32
 STEP = 4
 GRAPH = (
     "shard int, n int, width int, vectors binary, ids binary, id_ends binary, "
-    "layer_nodes array<binary>, layer_links array<binary>"
+    "layer_nodes array<binary>, layer_links array<binary>, landmarks binary"
 )
 
 
@@ -110,6 +117,20 @@ def build(points: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     return layers
 
 
+def landmarks(layers: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Nodes that together link to all others in layer 0, those of upper layers first."""
+    links = layers[0][1]
+    covered = np.zeros(len(links) + 1, bool)
+    chosen = []
+    for nodes, _ in layers[::-1]:
+        for node in nodes.tolist():
+            if not covered[node]:
+                chosen.append(node)
+                covered[node] = True
+                covered[links[node]] = True  # -1 is the place beyond the last node
+    return np.array(chosen, np.int32)
+
+
 def walk(points: np.ndarray, links: np.ndarray, queries: np.ndarray, starts: np.ndarray, beam: int) -> np.ndarray:
     """Beam search in one layer for all queries together: the nodes found, best first, -1 where fewer."""
     rows = np.arange(len(queries))[:, None]
@@ -144,9 +165,13 @@ def walk(points: np.ndarray, links: np.ndarray, queries: np.ndarray, starts: np.
 
 
 def search(
-    points: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]], queries: np.ndarray, beam: int = BEAM
+    points: np.ndarray,
+    layers: list[tuple[np.ndarray, np.ndarray]],
+    marks: np.ndarray,
+    queries: np.ndarray,
+    beam: int = BEAM,
 ) -> np.ndarray:
-    """Nodes found for every query, from the top layer down."""
+    """Nodes found for every query, from the top layer and from the best landmarks down."""
     entry = layers[-1][0][:STARTS].astype(np.int64)
     starts = np.tile(entry, (len(queries), 1))
     for nodes, links in layers[:0:-1]:
@@ -154,6 +179,12 @@ def search(
         within[starts < 0] = -1
         found = walk(points[nodes], links, queries, within, max(STARTS, starts.shape[1]))
         starts = np.where(found >= 0, nodes[found], -1)[:, :STARTS]
+    near = queries @ points[marks].T
+    count = min(LANDMARKS, len(marks))
+    best = marks[np.argpartition(-near, count - 1, axis=1)[:, :count]].astype(np.int64)
+    # Landmarks among the starts already count once.
+    best[(best[:, :, None] == starts[:, None, :]).any(axis=2)] = -1
+    starts = np.concatenate([starts, best], axis=1)
     return walk(points, layers[0][1], queries, starts, max(beam, starts.shape[1]))
 
 
@@ -166,8 +197,8 @@ def valid_vectors(table: DataFrame, id_: str = "vec_id", vector: str = "embeddin
     return rows.where(F.size("v") == (length["n"] if length else 0))
 
 
-def build_graphs(rows: DataFrame, shards: int) -> DataFrame:
-    """One row per shard with its vectors, ids and layers as flat arrays."""
+def build_graphs(rows: DataFrame, shards: int, k: int = NEAREST) -> DataFrame:
+    """One row per shard with its vectors, ids, layers and landmarks as flat arrays, for searches of up to ``k``."""
 
     def of_shard(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         values = np.array(group["v"].tolist(), np.float64)
@@ -177,7 +208,7 @@ def build_graphs(rows: DataFrame, shards: int) -> DataFrame:
         order = np.lexsort((ids, home))
         # Of copies the smallest ids count, one more than a result holds: a query's own may be among them.
         place = np.arange(len(ids)) - np.searchsorted(home[order], home[order])
-        order = order[place <= NEAREST]
+        order = order[place <= k]
         ends = np.cumsum(np.bincount(home[order], minlength=len(distinct)))
         layers = build(distinct.astype(np.float32))
         return pd.DataFrame(
@@ -190,6 +221,7 @@ def build_graphs(rows: DataFrame, shards: int) -> DataFrame:
                 "id_ends": [ends.astype(np.int64).tobytes()],
                 "layer_nodes": [[nodes.tobytes() for nodes, _ in layers]],
                 "layer_links": [[links.tobytes() for _, links in layers]],
+                "landmarks": [landmarks(layers).tobytes()],
             }
         )
 
@@ -210,11 +242,11 @@ def search_graphs(graphs: DataFrame, queries: DataFrame, shards: int, blocks: in
                 (np.frombuffer(nodes, np.int32), np.frombuffer(links, np.int32).reshape(-1, 2 * LINKS))
                 for nodes, links in zip(row.layer_nodes, row.layer_links)
             ]
-            points = vectors.astype(np.float32)
+            points, marks = vectors.astype(np.float32), np.frombuffer(row.landmarks, np.int32)
             for at in range(0, len(asked), 256):
                 part = asked.iloc[at : at + 256]
                 wanted = np.array(part["v"].tolist(), np.float64)
-                found = search(points, layers, wanted.astype(np.float32), beam)
+                found = search(points, layers, marks, wanted.astype(np.float32), max(beam, k + 1))
                 owner, place = np.nonzero(found >= 0)
                 node = found[owner, place]
                 score = (wanted[owner] * vectors[node]).sum(axis=1)
@@ -260,8 +292,8 @@ def nearest_neighbours(
     n = rows.count()
     shards = max(1, -(-n // shard_rows))
     # A row per id and vector: what repeats is expanded again from the graph's lists of ids.
-    graphs = materialize(build_graphs(rows, shards), "graphs")
-    queries = rows.where(F.col("id") % every == 0).dropDuplicates(["id"])
+    graphs = materialize(build_graphs(rows, shards, k), "graphs")
+    queries = rows.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"))
     blocks = max(1, -(-n // (every * QUERY_ROWS)))
     found = search_graphs(graphs, queries, shards, blocks, k, beam)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
