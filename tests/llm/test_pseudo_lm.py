@@ -61,7 +61,7 @@ def test_pack_round_trip():
 def test_learned_from_all_documents(spark, monkeypatch):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     monkeypatch.setattr(lm, "FAN", 2)  # more than one level of averages
-    weights = lm.train(docs.repartition(6, "doc_id"))
+    weights = lm.train(docs.repartition(6, "doc_id"), group_words=40_000)
     real = docs.select("doc_id", "text").collect()
     chance = random.Random(1)
     mixed = []
@@ -79,6 +79,38 @@ def test_learned_from_all_documents(spark, monkeypatch):
     assert learned > mean(spark.createDataFrame(mixed, "doc_id long, text string"), weights)
 
 
+def test_the_model_does_not_depend_on_partitions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs = docs.unionByName(docs.where("doc_id % 7 = 0"))  # repeated rows
+    scores = []
+    for parts in (1, 6):
+        dealt = docs.repartition(parts, "lang", "doc_id")
+        weights = lm.train(dealt, group_words=20_000)
+        scores.append((weights.pack(), sorted(map(tuple, lm.score(dealt, weights).collect()))))
+    assert np.array_equal(scores[0][0], scores[1][0])
+    for one, other in zip(scores[0][1], scores[1][1]):
+        assert one[:2] == other[:2] and np.isclose(one[2], other[2], rtol=1e-5)
+
+
+def test_every_word_is_learned_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(lm.Learner, "step", lambda self, around, words: seen.append(words))
+    chance = np.random.default_rng(1)
+    documents = [chance.integers(0, lm.VOCABULARY, n).astype("<u2") for n in (1, 7, 0, 9000, 70_000, 3)]
+    assert lm.learn_documents(lm.Learner(lm.Weights.fresh()), iter(documents)) == 79_011
+    assert np.array_equal(np.concatenate(seen), np.concatenate(documents))
+    assert max(map(len, seen)) <= lm.BATCH
+
+
+def test_columns_and_texts_have_the_same_ids():
+    import pyarrow as pa
+
+    texts = ["One two  ÀB\x85c", None, "", " \n", *[t or "" for t in TEXTS]]
+    ids, ends = lm.WordIds().of_column(pa.array(texts, pa.string()))
+    for text, a, b in zip(texts, ends, ends[1:]):
+        assert ids[a:b].tolist() == lm.WordIds().of(text).tolist()
+
+
 def test_op5(spark):
     rows = op5_pseudo_likelihood(spark, "/root/testdata/sf0.001").collect()
     assert len(rows) == len({r["doc_id"] for r in rows}) == 200
