@@ -417,6 +417,11 @@ FROM embeddings""",
     "denoise_stretches": ctes(*denoising(LONG_LEADS))
     + "\n"
     + elements("clean", "patient_id, lead_idx", "y", kind="BIGINT"),
+    "equal_copies": """SELECT patient_id, place,
+  CASE WHEN patient_id % 3 = 0 THEN 'patient has several recordings'
+    WHEN place = 'b' THEN 'copy of another recording' END AS reason
+FROM (SELECT DISTINCT vec_id // 24 AS patient_id FROM embeddings), (VALUES ('a'), ('b'), ('c')) p(place)
+WHERE place = 'a' OR (place = 'b' AND patient_id % 2 = 0) OR (place = 'c' AND patient_id % 3 = 0)""",
     "dataset_from_files": ctes(*denoising(FILE_LEADS), ("windows", FILE_WINDOWS))
     + "\n"
     + elements("windows", '"group", label, seg_idx, lead_idx', "s", "pos"),

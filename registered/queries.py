@@ -361,6 +361,13 @@ def decode_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return samples.withColumn("value", rounded("value"))
 
 
+def equal_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recordings of which some are there again, as they are or with other samples: which of them count."""
+    folder = long_record_files(spark, sf_dir, size=24, copies=True)
+    located = locate_recordings(spark, folder, equal_copies=True)
+    return located.select("patient_id", F.substring("folder", -1, 1).alias("place"), "reason")
+
+
 def denoise_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same files denoised from their stretches, without a row per sample."""
     chunks = read_stretches(locate_recordings(spark, long_record_files(spark, sf_dir)), chunk=LONG_CHUNK)
@@ -672,6 +679,7 @@ QUERIES: dict[str, Query] = {
     "header_fields": header_fields,
     "decode_stretches": decode_stretches,
     "denoise_stretches": denoise_stretches,
+    "equal_copies": equal_copies,
     "dataset_from_files": dataset_from_files,
     "dataset_with_copies": dataset_with_copies,
     "segment_table": segment_table,

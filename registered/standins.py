@@ -151,14 +151,24 @@ def odd_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 LONG_VECTORS = 768
 
 
-def long_record_files(spark: SparkSession, sf_dir: str) -> str:
-    """A folder of headers and signal files that hold many vectors each; the path."""
+def long_record_files(spark: SparkSession, sf_dir: str, size: int = LONG_VECTORS, copies: bool = False) -> str:
+    """A folder of headers and signal files that hold ``size`` vectors each; the path.
+
+    With ``copies`` every second recording is there once more as it is, and every
+    third with other samples.
+    """
     long = (
         vectors(spark, sf_dir)
-        .groupBy(whole_div(F.col("vec_id"), LONG_VECTORS).alias("patient"))
+        .groupBy(whole_div(F.col("vec_id"), size).alias("patient"))
         .agg(F.sort_array(F.collect_list(F.struct("vec_id", _words(F.col("signal")).alias("words")))).alias("v"))
-        .select("patient", F.flatten("v.words").alias("words"))
+        .select("patient", F.flatten("v.words").alias("words"), F.lit("a").alias("place"))
     )
+    if copies:
+        other = F.concat(F.slice("words", 2, F.size("words")), F.slice("words", 1, 1))
+        long = (
+            long.unionByName(long.where("patient % 2 = 0").withColumn("place", F.lit("b")))
+            .unionByName(long.where("patient % 3 = 0").withColumn("place", F.lit("c")).withColumn("words", other))
+        )
     lines = [
         F.concat("patient", F.lit(f" {N_LEADS} 8 "), whole_div(F.size("words"), N_LEADS)),
         *[F.concat("patient", F.lit(f".dat 16 1000(50)/mV 16 0 0 0 0 lead_{j}")) for j in range(N_LEADS)],
@@ -171,7 +181,8 @@ def long_record_files(spark: SparkSession, sf_dir: str) -> str:
             )
         ).alias("f"),
         "patient",
-    ).select(F.concat_ws(".", "patient", "f.kind").alias("name"), "f.content")
+        "place",
+    ).select(F.concat("place", F.lit("/"), "patient", F.lit("."), "f.kind").alias("name"), "f.content")
     folder = new_path(spark, "recordings")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

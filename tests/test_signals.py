@@ -84,6 +84,29 @@ def test_a_file_cut_into_ranges(spark, tmp_path, monkeypatch):
     assert np.array_equal(lead, digital[:, 0] / 200)
 
 
+def test_equal_copies_count_once(spark, tmp_path):
+    digital = np.random.default_rng(7).integers(-99, 99, (30, 2)).tolist()
+    for folder, name, values, gain in (
+        ("x", "1", digital, 200), ("y", "1", digital, 200), ("z", "1", digital, 200),  # equal
+        ("x", "2", digital, 200), ("y", "2", digital[::-1], 200),  # other samples
+        ("x", "3", digital, 200), ("y", "3", digital, 100),  # another gain
+        ("x", "4", digital, 200), ("y", "4", digital, 200),  # one without its signals
+        ("x", "5", digital, 200),
+    ):
+        write_record(tmp_path / folder / name, name, values, [gain] * 2)
+    (tmp_path / "y" / "4" / "4.dat").unlink()
+    located = locate_recordings(spark, str(tmp_path), equal_copies=True)
+    found = {(r["patient_id"], r["folder"].split("/")[-2]): r["reason"] for r in located.collect()}
+    copy, several = "copy of another recording", "patient has several recordings"
+    assert found == {
+        (1, "x"): None, (1, "y"): copy, (1, "z"): copy, (2, "x"): several, (2, "y"): several,
+        (3, "x"): several, (3, "y"): several, (4, "x"): several, (4, "y"): several, (5, "x"): None,
+    }
+    assert sorted(r["patient_id"] for r in read_whole(located).collect()) == [1, 5]
+    strict = locate_recordings(spark, str(tmp_path))
+    assert sorted(r["patient_id"] for r in read_whole(strict).collect()) == [5]
+
+
 def test_a_file_that_has_changed_is_an_error(spark, tmp_path):
     write_record(tmp_path / "1", "1", [[1], [2]], [1])
     located = locate_recordings(spark, str(tmp_path))

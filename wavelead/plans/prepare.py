@@ -159,13 +159,16 @@ def prepare(
     strict: bool = True,
     keep_segments: bool = False,
     read: Reader = read_bytes,
+    equal_copies: bool = False,
 ) -> DataFrame:
     """Write the data set, its rejects and the profile below ``output``; return the report.
 
     The signals are read once, where their headers point, into ``windows``,
     partitioned by ``kind``: the data set is ``windows/kind=dataset``, the other
     tables are small ones drawn from it. What headers and metadata tell is
-    checked before any signal is read. ``read`` opens the signal files.
+    checked before any signal is read. ``read`` opens the signal files. With
+    ``equal_copies`` recordings of a patient that are the same byte for byte
+    count once, for which those of patients with several are read twice.
 
     With ``strict`` a patient without a recording or an empty data set is an
     error. With ``keep_segments`` the segments of single leads are written too,
@@ -187,7 +190,9 @@ def prepare(
         write(found.select("patient_id", "folder", "record").join(meta, "patient_id", "left_anti"), "unlabelled_recordings")
         write(completeness(found), "completeness")
 
-        located = locate_recordings(spark, recordings, labels=label_sets(meta), headers=headers).cache()
+        located = locate_recordings(
+            spark, recordings, labels=label_sets(meta), headers=headers, equal_copies=equal_copies, read=read
+        ).cache()
         write(recording_rejects(located), "recording_rejects")
         decoded = read_whole(located, read)
         windows = judged_windows(decoded, duration, shape)

@@ -13,6 +13,7 @@ needs no such access.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from urllib.parse import quote
 
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from wavelead.functions.columns import whole_div
 from wavelead.operators.layout import CHUNK
 from wavelead.sources.recordings import MISSING_SAMPLE, match_signals, read_headers
+from wavelead.storage import materialize
 
 # Reads ``size`` bytes of a file from ``start`` on.
 Reader = Callable[[str, int, int], bytes]
@@ -62,16 +64,86 @@ def locate_recordings(
     signal_glob: str = "*.dat",
     labels: DataFrame | None = None,
     headers: DataFrame | None = None,
+    equal_copies: bool = False,
+    read: Reader = read_bytes,
 ) -> DataFrame:
     """Headers below ``path`` with the place of their signals: one row per signal file, or with a ``reason``.
 
     The same table as ``recordings.match_recordings`` gives, but with the path
-    of a signal file in place of its content.
+    of a signal file in place of its content. With ``equal_copies`` a patient's
+    recordings that are the same byte for byte count once (:func:`keep_one_copy`);
+    otherwise all recordings of a patient who has several are rejected.
     """
     parsed = read_headers(spark, path) if headers is None else headers
+    files = list_signals(spark, path, signal_glob)
+    if equal_copies:
+        parsed = keep_one_copy(parsed, files, read)
     if labels is not None:
         parsed = parsed.join(labels, "patient_id", "left")
-    return match_signals(parsed, list_signals(spark, path, signal_glob))
+    return match_signals(parsed, files)
+
+
+def keep_one_copy(headers: DataFrame, files: DataFrame, read: Reader = read_bytes) -> DataFrame:
+    """Headers with a reason for all but one of the equal recordings of a patient.
+
+    Only the recordings of patients who have several are looked at: tasks read
+    their signal files in stretches and take a hash of what the header says of a
+    file and of its samples. If all recordings of a patient have the same hashes,
+    the one in the first folder counts. If they contradict each other, or one
+    cannot be read, all are left to be rejected.
+    """
+    usable = headers.where("reason IS NULL")
+    several = usable.groupBy("patient_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("patient_id")
+    # Each recording by itself, so that match_signals does not reject them for being several.
+    alone = usable.join(several, "patient_id", "left_semi").withColumn("real_id", F.col("patient_id"))
+    alone = alone.withColumn("patient_id", F.xxhash64("folder", "record"))
+    located = materialize(match_signals(alone, files), "copies")
+    said = F.to_json(F.struct("fs", "n_samples", "offset", F.transform("signals", lambda s: s.dropFields("file"))))
+    names = ["real_id", "folder", "record", "reason"]
+    parts = (
+        located.select(
+            *names,
+            F.col("signals.lead_idx").alias("leads"),
+            said.alias("said"),
+            "signal_path",
+            F.col("offset").cast("long").alias("start"),
+            (2 * F.col("n_samples").cast("long") * F.size("signals")).alias("size"),
+        )
+    )
+
+    def fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = []
+            for row in batch.to_pylist():
+                whole = hashlib.sha256((row["said"] or "").encode())
+                if row["reason"] is None:
+                    for at in range(0, row["size"], BATCH_BYTES):
+                        whole.update(_exactly(read, row["signal_path"], row["start"] + at, min(BATCH_BYTES, row["size"] - at)))
+                prints.append(whole.hexdigest() if row["reason"] is None else None)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(c) for c in ("real_id", "folder", "record", "leads")] + [pa.array(prints, pa.string())],
+                names=["real_id", "folder", "record", "leads", "print"],
+            )
+
+    prints = _spread(parts, "size").mapInArrow(
+        fingerprint, "real_id long, folder string, record string, leads array<int>, print string"
+    )
+    # A few hashes for each recording, in the order of their leads.
+    recordings = prints.groupBy("real_id", "folder", "record").agg(
+        F.to_json(F.sort_array(F.collect_list(F.struct("leads", "print")))).alias("prints"),
+        F.max(F.col("print").isNull()).alias("unread"),
+    )
+    verdicts = recordings.groupBy("real_id").agg(
+        F.min("prints").alias("low"),
+        F.max("prints").alias("high"),
+        F.max("unread").alias("unread"),
+        F.min(F.struct("folder", "record")).alias("first"),
+    )
+    equal = verdicts.where("low = high AND NOT unread").select(F.col("real_id").alias("patient_id"), "first")
+    kept = headers.join(equal, "patient_id", "left")
+    copy = F.col("first").isNotNull() & (F.struct("folder", "record") != F.col("first"))
+    reason = F.coalesce("reason", F.when(copy, "copy of another recording"))
+    return kept.select(*[c for c in headers.columns if c != "reason"], reason.alias("reason"))
 
 
 def _physical(data: bytes, gains: list[float], zeros: list[int]) -> np.ndarray:
