@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 
 from wavelead.llm.host_rules import kept_documents
@@ -10,7 +12,7 @@ from wavelead.llm.packing import pack_documents
 from wavelead.llm.passages import passages, without_passages
 from wavelead.llm.quality import accepted_documents
 from wavelead.llm.queries import table, vocabulary
-from wavelead.storage import materialize
+from wavelead.storage import settle
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +32,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document has too are cut out of the later ones."""
-    return without_passages(docs, passages(docs))
+    return without_passages(docs, settle(spark, "passages", lambda: passages(docs)))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +53,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage; what a stage writes on its way is removed once its result is written."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = settle(spark, name.replace(" ", "-"), partial(stage, spark, docs, sf_dir))
     return docs

@@ -13,6 +13,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from wavelead.llm.queries import vocabulary
 from wavelead.llm.quality import score_documents
+from wavelead.storage import materialize
 
 SF = "/root/testdata/sf0.001"
 
@@ -27,7 +28,7 @@ def stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     made = [docs]
     for name, stage in corpus_pipeline.STAGES:
-        made.append(corpus_pipeline.materialize(stage(spark, made[-1], SF), "test"))
+        made.append(materialize(stage(spark, made[-1], SF), "test"))
     return made
 
 
@@ -82,7 +83,7 @@ def test_awkward_tables(spark):
     for source in (awkward(spark), empty(spark)):
         docs = source
         for _, stage in corpus_pipeline.STAGES[:-1]:
-            docs = corpus_pipeline.materialize(stage(spark, docs, SF), "test")
+            docs = materialize(stage(spark, docs, SF), "test")
             assert docs.columns == source.columns
         left = docs.count()
         assert left < len(TEXTS) + 2
