@@ -97,6 +97,26 @@ def test_tiles_find_what_pivots_leave(spark):
         assert {k: found.get(k, k) for k in texts} == component
 
 
+def test_an_id_with_several_texts(spark):
+    """All that any text of an id is linked with is one class, under its smallest id."""
+    chance = random.Random(6)
+
+    def text():
+        return [f"w{chance.random()}" for _ in range(120)]
+
+    p, q, r, s = text(), text(), text(), text()
+    near = lambda words: [*words[:-2], "other", "end"]
+    rows = [(5, p), (5, q), (5, q), (7, near(p)), (3, near(q)), (9, r), (9, s), (8, r), (2, near(near(s))), (11, text())]
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in rows], "doc_id long, text string").repartition(3)
+    found = {}
+    for r_ in near_duplicates(docs).collect():
+        found.setdefault(r_["doc_id"], set()).add((r_["component_id"], r_["kept"]))
+    assert found == {
+        5: {(3, False)}, 7: {(3, False)}, 3: {(3, True)},
+        9: {(2, False)}, 8: {(2, False)}, 2: {(2, True)}, 11: {(11, True)},
+    }
+
+
 def test_common_shingles():
     chance = np.random.default_rng(3)
     sets = [np.unique(chance.integers(0, 30, n)) for n in (0, 5, 20, 40, 9)]

@@ -24,7 +24,8 @@ tiles.
 
 Words are stretches without ASCII white space, A-Z in lower case. A document of
 fewer than five words is its whole sequence; without words it has no set and no
-links. A null id has no links and no class. Rows with the same id are one node.
+links. A null id has no links and no class. Rows with the same id are in one class
+with all that any of their texts is linked with.
 Empty tables give empty results. Only the id and text columns are read.
 """
 
@@ -92,14 +93,14 @@ def half_keys(values: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, two hashes of the set, the half keys of both sides, a byte of every minhash."""
+    """doc_id, hash of the text, n_shingles, two hashes of the set, half keys of both sides, a byte of every minhash."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, factors = ByteHashes(), multipliers(_HASHES)
         longs = pa.list_(pa.int64())
         for batch in batches:
             n, one, two, u, v, sig = [], [], [], [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 found = shingle_set(text, hashes)
                 whole = xxhash.xxh3_128_digest(found.tobytes())
                 n.append(len(found))
@@ -112,11 +113,49 @@ def signatures(docs: DataFrame) -> DataFrame:
                 sig.append((mix(values) >> np.uint64(56)).astype(np.uint8).tobytes())
             columns = [pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64())]
             columns += [pa.array(u, longs), pa.array(v, longs), pa.array(sig, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=names)
 
-    schema = "doc_id long, n_shingles long, set1 long, set2 long, u array<long>, v array<long>, sig binary"
+    schema = "doc_id long, text_hash long, n_shingles long, set1 long, set2 long, u array<long>, v array<long>, sig binary"
     names = [part.split()[0] for part in schema.split(", ")]
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(sign, schema)
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("text_hash"), text).mapInArrow(sign, schema)
+
+
+def set_classes(signed: DataFrame) -> DataFrame:
+    """One row per set: node, the smallest id (``doc``) that has it with the hash of its text, and what links need.
+
+    The node of a set is that id. If several sets have the same one, the first
+    of them has it and the others get numbers beyond all ids; as all sets of an
+    id are joined, the smallest node of a class is an id still.
+    """
+    full = signed.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
+    classes = materialize(
+        full.groupBy("set1", "set2").agg(
+            F.min(F.struct("doc_id", "text_hash")).alias("of"),
+            F.first("n_shingles").alias("n"),
+            F.first("u").alias("u"),
+            F.first("v").alias("v"),
+            F.first("sig").alias("sig"),
+        ).select("set1", "set2", F.col("of.doc_id").alias("doc"), "of.text_hash", "n", "u", "v", "sig"),
+        "sets-of-ids",
+    )
+    several = classes.groupBy("doc").agg(F.min(F.struct("set1", "set2")).alias("first"), F.count(F.lit(1)).alias("c"))
+    top = classes.agg(F.max("doc")).first()[0] or 0
+    joined = classes.join(several.where("c > 1").drop("c"), "doc", "left")
+    own = F.col("first").isNull() | (F.col("first") == F.struct("set1", "set2"))
+    node = F.when(own, F.col("doc")).otherwise(F.lit(top + 1) + F.monotonically_increasing_id())
+    return materialize(joined.withColumn("node", node).drop("first"), "set-classes")
+
+
+def sets_of_one_id(signed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links (a, b) between the sets of an id that occurs with several texts."""
+    full = signed.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).select("doc_id", "set1", "set2")
+    of = F.struct("set1", "set2")
+    several = full.groupBy("doc_id").agg(F.min(of).alias("low"), F.max(of).alias("high")).where("low < high")
+    sets = full.join(several.select("doc_id"), "doc_id", "left_semi").distinct()
+    found = sets.join(nodes.select("set1", "set2", "node"), ["set1", "set2"]).select("doc_id", "node")
+    least = found.groupBy("doc_id").agg(F.min("node").alias("a"))
+    return found.join(least, "doc_id").where("a < node").select("a", F.col("node").alias("b")).distinct()
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -268,16 +307,32 @@ def tiles(rest: DataFrame, tile: int = TILE) -> DataFrame:
 
 
 def links(
-    nodes: DataFrame, docs: DataFrame, threshold: int = THRESHOLD, rounds: int = ROUNDS, tile: int = TILE
+    nodes: DataFrame,
+    docs: DataFrame,
+    threshold: int = THRESHOLD,
+    rounds: int = ROUNDS,
+    tile: int = TILE,
+    known: DataFrame | None = None,
 ) -> DataFrame:
-    """Classes of ``nodes`` (node, n, u, v, sig) that have a link: node, component."""
+    """Classes of ``nodes`` (``set_classes``) that have a link: node, component. ``known`` are links from the start.
+
+    Where nodes have no ``doc`` and ``text_hash`` they are the ids of ``docs``.
+    """
     members = materialize(candidate_buckets(nodes), "buckets")
     wanted = members.select("node").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string"))
-    sets = materialize(shingle_sets(texts.join(wanted, "node", "left_semi")).dropDuplicates(["node"]), "sets")
+    text = F.col("text").cast("string")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64(text).alias("text_hash"), text)
+    if "text_hash" in nodes.columns:
+        places = nodes.join(wanted, "node", "left_semi").select("node", "doc", "text_hash")
+        texts = texts.join(places, ["doc", "text_hash"]).select("node", "text")
+    else:
+        texts = texts.select(F.col("doc").alias("node"), "text").join(wanted, "node", "left_semi")
+    sets = materialize(shingle_sets(texts).dropDuplicates(["node"]), "sets")
     signed = materialize(nodes.join(wanted, "node", "left_semi").select("node", "sig"), "signed")
 
-    found, rows = None, members.withColumn("class", F.col("node"))
+    found, rows = known, members.withColumn("class", F.col("node"))
+    if known is not None:
+        rows = with_classes(members, components(known))
     for turn in range(rounds + 1):
         mixed = rows.groupBy("key").agg(
             F.min("class").alias("low"),
@@ -305,33 +360,26 @@ def links(
             new = materialize(compare_tiles(met, threshold), "links")
         found = new if found is None else found.unionByName(new)
         classes = components(found)
-        rows = members.join(classes.withColumnRenamed("component", "class"), "node", "left").withColumn(
-            "class", F.coalesce("class", "node")
-        )
+        rows = with_classes(members, classes)
     return classes
 
 
+def with_classes(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """``members`` with the class of their node; a node without links is its own."""
+    found = members.join(classes.withColumnRenamed("component", "class"), "node", "left")
+    return found.withColumn("class", F.coalesce("class", "node"))
+
+
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
     signed = materialize(signatures(docs), "signatures")
-    classes = (
-        signed.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-        .groupBy("set1", "set2")
-        .agg(
-            F.min("doc_id").alias("node"),
-            F.first("n_shingles").alias("n"),
-            F.first("u").alias("u"),
-            F.first("v").alias("v"),
-            F.first("sig").alias("sig"),
-        )
-    )
-    nodes = materialize(classes, "set-classes")
-    joined = links(nodes, docs, threshold)
+    nodes = set_classes(signed)
+    known = materialize(sets_of_one_id(signed, nodes), "links")
+    joined = links(nodes, docs, threshold, known=known if known.first() else None)
     of_sets = (
         nodes.join(joined, "node", "left")
         .select("set1", "set2", F.coalesce("component", "node").alias("component"))
     )
-    # Rows with the same id are one node: the smallest class of its rows counts.
     rows = signed.select("doc_id", "n_shingles", "set1", "set2").join(of_sets, ["set1", "set2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     return rows.select(
