@@ -95,9 +95,9 @@ def host_verdicts(counted: DataFrame, host: str, failed: str, max_rate: float =
         F.count(F.lit(1)).alias("n_docs"), F.sum(F.col(failed).cast("long")).alias("n_failed")
     )
     rate = F.col("n_failed") / F.col("n_docs")
-    moments = hosts.agg(
-        F.avg(rate).alias("mean"), F.var_pop(rate).alias("spread"), F.count(F.lit(1)).alias("n")
-    ).first()
+    # What the rates would vary by chance alone, as each host has so many documents, is no spread of the hosts.
+    chance = F.avg(rate * (1 - rate) / F.col("n_docs"))
+    moments = hosts.agg(F.avg(rate).alias("mean"), (F.var_pop(rate) - chance).alias("spread")).first()
     mean, strength = beta_prior(moments["mean"], moments["spread"])
     shrunk = (F.col("n_failed") + mean * strength) / (F.col("n_docs") + strength)
     return hosts.select(
@@ -108,12 +108,12 @@ def host_verdicts(counted: DataFrame, host: str, failed: str, max_rate: float =
 def beta_prior(mean: float | None, spread: float | None) -> tuple[float, float]:
     """Mean and weight of the beta law with the mean and variance of the hosts' rates.
 
-    Where all rates are alike, or spread wider than a beta law can be, the
+    Where the rates spread no more than by chance, or wider than a beta law can be, the
     weight is ``DEFAULT_STRENGTH`` documents.
     """
     if mean is None:
         return 0.0, DEFAULT_STRENGTH
-    strength = mean * (1 - mean) / spread - 1 if spread else 0.0
+    strength = mean * (1 - mean) / spread - 1 if spread > 0 else 0.0
     return mean, strength if strength > 0 else DEFAULT_STRENGTH
 
 

@@ -27,11 +27,11 @@ judged AS (
 hosts AS (
   SELECT source, count(*) AS n, count(*) FILTER (WHERE base_failed) AS f FROM judged GROUP BY source),
 moments AS (
-  SELECT avg(f / n) AS m, var_pop(f / n) AS v FROM hosts),
+  SELECT avg(f / n) AS m, var_pop(f / n) - avg(f / n * (1 - f / n) / n) AS v FROM hosts),
 prior AS (
   SELECT m, CASE WHEN v > 0 AND m * (1 - m) / v - 1 > 0 THEN m * (1 - m) / v - 1 ELSE 20 END AS s FROM moments)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT ((f + m * s) / (n + s) > 0.5) AS kept
+       round((f + m * s) / (n + s), 6) AS shrunk_rate, NOT base_failed AND NOT ((f + m * s) / (n + s) > 0.5) AS kept
 FROM judged JOIN hosts ON hosts.source IS NOT DISTINCT FROM judged.source, prior
 """,
     "op11_fill_in_middle": r"""

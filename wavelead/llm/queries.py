@@ -61,7 +61,7 @@ def op5_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = judge(table(spark, sf_dir, "documents"), host="source", keep=("doc_id",))
-    return judged.drop("shrunk_rate")
+    return judged.withColumn("shrunk_rate", F.round("shrunk_rate", 6))
 
 
 def op7_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
