@@ -59,13 +59,6 @@ class ByteHashes(WordHashes):
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
 
-    def of_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the words of all texts one after another, A-Z in lower case, and where each text's begin and end."""
-        words, ends = split_column(texts, LOWER)
-        distinct = words.dictionary_encode()
-        known = self.of(distinct.dictionary.cast(pa.binary()).to_pylist())
-        return known[np.asarray(distinct.indices)] if len(words) else known, ends
-
 
 LOWER = bytes(range(256)).lower()
 
@@ -89,6 +82,33 @@ def split_column(texts: pa.Array, fold: bytes) -> tuple[pa.Array, np.ndarray]:
     return words.filter(pa.array(full)), np.append(0, np.cumsum(full))[ends]
 
 
+def hash_strings(words: pa.Array) -> np.ndarray:
+    """64-bit hashes of strings without nulls, eight bytes of all of them at a time."""
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    data = (words.buffers()[2] or pa.py_buffer(b"")).to_pybytes() + bytes(8)
+    # The eight bytes from every byte on.
+    lanes = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+    start, size = offsets[:-1], np.diff(offsets)
+    hashes = mix(size.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    active, at = np.flatnonzero(size), 0
+    while len(active):
+        left = size[active] - at
+        value = lanes[start[active] + at]
+        # Of the last bytes of a string those behind it don't count.
+        value &= np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * np.minimum(left, 8).astype(np.uint64))
+        hashes[active] = mix(mix(hashes[active] ^ value) + np.uint64(0x9E3779B97F4A7C15))
+        active, at = active[left > 8], at + 8
+    return hashes
+
+
+def hash_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts one after another, A-Z in lower case, and where each text's begin and end."""
+    words, ends = split_column(texts, LOWER)
+    return hash_strings(words), ends
+
+
 def in_parts(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose texts in ``column`` have about ``SPLIT_BYTES``, or a single row."""
     size = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64)
