@@ -29,11 +29,10 @@ from dataclasses import dataclass, fields
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavelead.llm.text import LOWER, in_parts, split_column
+from wavelead.llm.text import hash_words, in_parts
 from wavelead.storage import materialize
 
 VOCABULARY = 4096
@@ -50,23 +49,16 @@ FAN = 32
 EDGE = VOCABULARY
 
 
-class WordIds(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 400_000:
-            self.clear()
-        value = self[word] = xxhash.xxh32_intdigest(word) % VOCABULARY
-        return value
+class WordIds:
+    """Ids of words: their hashes modulo ``VOCABULARY``."""
 
     def of(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return self.of_column(pa.array([text], pa.string()))[0].astype(np.int64)
 
     def of_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words of all texts one after another, and where each text's begin and end."""
-        words, ends = split_column(texts, LOWER)
-        distinct = words.dictionary_encode()
-        ids = [self[w] for w in distinct.dictionary.cast(pa.binary()).to_pylist()]
-        return np.array(ids, "<u2")[np.asarray(distinct.indices)], ends
+        hashes, ends = hash_words(texts)
+        return (hashes % np.uint64(VOCABULARY)).astype("<u2"), ends
 
 
 @dataclass
