@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavelead.llm.bpe_tree import TreeBpe
+from wavelead.llm.text import in_parts
 from wavelead.storage import materialize, new_path
 
 # Ids in a block before it is closed.
@@ -91,21 +92,24 @@ def encode_texts(docs: DataFrame, vocabulary: str, end: int) -> DataFrame:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, total = TreeBpe(shared.value), np.zeros(0, np.int64)
         none = pa.nulls(1, pa.int64())
-        for batch in batches:
-            ids = bpe.encode(batch.column(2))
-            found, n = np.asarray(ids.flatten()), np.diff(np.asarray(ids.offsets))
-            # One place more for every document: its end id.
-            ends = np.cumsum(n + 1)
-            values = np.full(len(found) + len(n), end, narrow)
-            values[np.arange(len(found)) + np.repeat(np.arange(len(n)), n)] = found
-            seen = np.bincount(values, minlength=len(total))
-            seen[: len(total)] += total
-            total = seen
-            offsets = (np.append(0, ends) * values.itemsize).astype(np.int32)
-            column = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(values)])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), column, pa.nulls(len(n), counts)], names=names
-            )
+        for whole in batches:
+            for batch in in_parts(whole, 2):
+                ids = bpe.encode(batch.column(2))
+                found, n = np.asarray(ids.flatten()), np.diff(np.asarray(ids.offsets))
+                # One place more for every document: its end id.
+                ends = np.cumsum(n + 1)
+                values = np.full(len(found) + len(n), end, narrow)
+                values[np.arange(len(found)) + np.repeat(np.arange(len(n)), n)] = found
+                seen = np.bincount(values, minlength=len(total))
+                seen[: len(total)] += total
+                total = seen
+                offsets = (np.append(0, ends) * values.itemsize).astype(np.int32)
+                column = pa.Array.from_buffers(
+                    pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(values)]
+                )
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(1), column, pa.nulls(len(n), counts)], names=names
+                )
         seen = np.flatnonzero(total)
         pairs = pa.StructArray.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["id", "n"])
         last = pa.ListArray.from_arrays(pa.array([0, len(seen)], pa.int32()), pairs)
