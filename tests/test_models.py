@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from wavelead.operators.features import FEATURES, lead_features, record_features
@@ -82,6 +83,16 @@ def test_gaps_are_filled_and_folds_are_few(rows):
         out_of_fold(rows.withColumn("fold", F.col("id")), ["a"], ("logistic",))
 
 
+def test_models_score_in_a_session_that_has_observed_a_query(rows):
+    seen = Observation("rows")
+    rows.observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get["n"] == rows.count()
+    folds = assign_folds(rows, 3)
+    scored = out_of_fold(folds, ["a", "b"], ("logistic", "forest")).toPandas()
+    assert len(scored) == 2 * rows.count() and scored.p.between(0, 1).all()
+    assert permutation_importance(folds, ["a", "b"], columns=["a"]).first()["n"] == rows.count()
+
+
 def test_features(spark):
     x = [1.0, -2.0, 3.0, 0.0, -1.0]
     df = spark.createDataFrame(

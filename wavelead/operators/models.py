@@ -12,7 +12,7 @@ from concurrent.futures import ThreadPoolExecutor
 from functools import partial, reduce
 
 from pyspark import inheritable_thread_target
-from pyspark.ml import Estimator, Pipeline
+from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavelead.operators.ranking import row_index
-from wavelead.storage import materialize
+from wavelead.storage import materialize, new_path, remove
 
 SEED = 42
 # Fits that run at the same time, and the most folds that a table may have.
@@ -49,7 +49,21 @@ def _fit(train: DataFrame, features: list[str], stages: list[Estimator]):
     filled = [f"_filled_{name}" for name in features]
     imputer = Imputer(inputCols=features, outputCols=filled, strategy="mean")
     assembler = VectorAssembler(inputCols=filled, outputCol="assembled", handleInvalid="error")
-    return Pipeline(stages=[imputer, assembler, *stages]).fit(train)
+    *before, model = Pipeline(stages=[imputer, assembler, *stages]).fit(train).stages
+    return PipelineModel([*before, _without_summary(train.sparkSession, model)])
+
+
+def _without_summary(spark: SparkSession, model):
+    """The model as it is read back from a file.
+
+    A fitted model goes to the tasks with the summary of its training, and that
+    with the session, which can't be sent once a query of it has been observed.
+    """
+    path = new_path(spark, "model")
+    model.write().session(spark).save(path)
+    read = type(model).read().session(spark).load(path)
+    remove(spark, path)
+    return read
 
 
 def _score(model, rows: DataFrame) -> DataFrame:
