@@ -5,12 +5,14 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from cases import TEXTS, awkward, empty
 from tokenizers import Tokenizer
 
 from wavelead.llm.bpe import WordBpe
+from wavelead.llm.bpe_tree import shared_bpe
 from wavelead.llm.packing import SIZE, first_fit_decreasing, pack_documents
 from wavelead.llm.pieces import CharacterMap, PieceModel, encode_documents
 from wavelead.llm.queries import op1_sentencepiece, op2_token_files, op10_packing, piece_model, vocabulary
@@ -165,6 +167,15 @@ def test_op2(spark, library):
     check_token_files(rows, texts, library)
 
 
+def test_tasks_of_a_worker_share_what_they_met(library):
+    texts = [*random_texts(300), "Größe ÀÉ größe's plain", "ascii only"]
+    for _ in range(2):
+        bpe = shared_bpe(vocabulary())
+        assert [i.as_py() for i in bpe.encode(pa.array(texts))] == [ids_of(library, t, 0)[:-1].tolist() for t in texts]
+    assert bpe is shared_bpe(vocabulary())
+    assert bpe.stretches and bpe.parts
+
+
 def check_packing(rows, texts, library, copies=1):
     sequences, documents = {}, {}
     for r in rows:

@@ -21,6 +21,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -276,9 +277,11 @@ class TreeBpe:
                 parts += [*iter(easy.__next__, None), None] if p else [*self._cut(stretch), None]
             return parts
         parts = _PARTS.findall(joined.lower() + "\n")
-        if not joined.isascii():
-            mapped = "\x00".join(parts).encode().decode("latin-1").translate(_CHARACTERS)
-            parts = mapped.split("\x00")
+        # ASCII stands for itself.
+        if others := [] if joined.isascii() else [k for k, p in enumerate(parts) if not p.isascii()]:
+            mapped = "\x00".join([parts[k] for k in others]).encode().decode("latin-1").translate(_CHARACTERS)
+            for k, part in zip(others, mapped.split("\x00")):
+                parts[k] = part
         return [None if p == "\n" else p for p in parts]
 
     def _learn(self, stretches: list[str]) -> None:
@@ -344,6 +347,12 @@ class TreeBpe:
         ).decode("utf-8", "replace")
 
 
+@lru_cache(maxsize=1)
+def shared_bpe(vocabulary: str) -> TreeBpe:
+    """One ``TreeBpe`` for all tasks of a Python worker, which start with what the ones before have met."""
+    return TreeBpe(vocabulary)
+
+
 # Stretches that no normalisation but lower case changes (one to a line), and the pattern of STEPS for them.
 _PLAIN = re.compile("[\n!-~À-ÖØ-öø-ÿ]+")
 _PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|\n|[0-9]|[^a-z0-9ß-öø-ÿ\n]+")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavelead.llm.bpe_tree import TreeBpe
+from wavelead.llm.bpe_tree import shared_bpe
 from wavelead.llm.text import in_parts
 from wavelead.storage import materialize, new_path
 
@@ -90,7 +90,7 @@ def encode_texts(docs: DataFrame, vocabulary: str, end: int) -> DataFrame:
     narrow = f"<u{id_width(vocabulary, end)}"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, total = TreeBpe(shared.value), np.zeros(0, np.int64)
+        bpe, total = shared_bpe(shared.value), np.zeros(0, np.int64)
         none = pa.nulls(1, pa.int64())
         for whole in batches:
             for batch in in_parts(whole, 2):
