@@ -1,8 +1,10 @@
+import time
 from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import functions as F
 
-from wavelead.storage import materialize, shared_folder
+from wavelead.storage import CLEANUP, materialize, settle, shared_folder
 
 
 class Context:
@@ -40,3 +42,37 @@ def test_tables_read_back_as_they_were(spark):
     assert dict(back.dtypes) == dict(df.dtypes)
     rows = back.select("id", "fold", "x").orderBy("id").collect()
     assert rows == df.orderBy("id").collect()
+
+
+def shuffle_files(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    return {name for name in disk.getAllFiles().mkString("\n").split("\n") if "shuffle_" in name}
+
+
+def left_of(spark, before):
+    """Shuffle files that were not there before; executors remove theirs when they hear of it."""
+    until = time.time() + 5
+    while (left := shuffle_files(spark) - before) and time.time() < until:
+        time.sleep(0.1)
+    return left
+
+
+def test_steps_leave_no_shuffle_files(spark):
+    before, setting = shuffle_files(spark), spark.conf.get(CLEANUP)
+    held = []
+
+    def build():
+        sums = spark.range(5000).groupBy((F.col("id") % 500).alias("k")).agg(F.sum("id").alias("s"))
+        # What still refers to a query doesn't keep its files.
+        held.append(sums)
+        table = materialize(sums, "sums")
+        assert not left_of(spark, before)
+        held.append(table.join(sums, "k").groupBy("k").agg(F.count("*").alias("n")))
+        return held[-1]
+
+    back = settle(spark, "test", build)
+    assert not left_of(spark, before)
+    assert spark.conf.get(CLEANUP) == setting
+    assert back.where("n = 1").count() == 500
+    # The same frame can be run again.
+    assert held[0].count() == 500
